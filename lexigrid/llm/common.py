@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
 def n_words_of(text: Column) -> Column:
@@ -52,3 +52,8 @@ def fold_of(key: Column, n: int) -> Column:
 
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
