@@ -64,7 +64,7 @@ def split_tree(quotas: list[int], n_shards: int, rng: np.random.Generator) -> li
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = 1.5, limit: float = 2.0, n_shards: int = 16, seed: int = 0, source_col: str = "source", text_col: str = "text", block_rows: int = 64, max_blocks: int = 200_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = 1.5, limit: float = 2.0, n_shards: int = 16, seed: int = 0, source_col: str = "source", text_col: str = "text", block_rows: int = 64, max_blocks: int = 200_000, tries: int = 16) -> DataFrame:
     """All rows of docs with size, source_size, target, draws and taken.
 
     Weights repeat over the sources in code-point order, a null source last. draws: one (shard, place) for
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = 1
 
     def numbered(df: DataFrame, source: Column) -> DataFrame:
         df = df.join(F.broadcast(known), source.eqNullSafe(F.col("__source")), "left").drop("__source")
-        return df.withColumns({"__block": F.pmod("__h", F.col("__blocks")).cast("int"), "__cut": F.xxhash64("__h")})
+        return df.withColumn("__block", F.pmod("__h", F.col("__blocks")).cast("int"))
 
     words = numbered(narrow, F.col("source")).groupBy("__s", "__block").agg(F.sum("size").alias("w")).collect()
     by_source: dict[int, dict[int, int]] = {i: {} for i in range(len(found))}
@@ -115,19 +115,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = 1
             need -= by_source[i][b]
         drawn.append(draws)
 
-    # Of the last block of a source, in its random order, go the documents that still fit as a whole, and one
-    # more of those behind them if its size comes nearer to what is then lacking than taking none does.
+    # Of the last block of a source, in a random order, go the documents up to where no more fits, and one
+    # of those behind if its size comes nearer to what is then lacking than taking none does. Of ``tries``
+    # orders the one that ends nearest is kept.
     cuts: dict[int, list[int]] = {}
     if ends:
         last = spark.createDataFrame(ends, "__s int, __block int, __need double")
-        inside = numbered(narrow, F.col("source")).join(F.broadcast(last), ["__s", "__block"]).groupBy("__s", "__need", "__cut").agg(F.sum("size").alias("w"))
-        inside = inside.withColumn("__run", F.sum("w").over(Window.partitionBy("__s").orderBy("__cut")))
-        fits = F.col("__run") <= F.col("__need")
-        whole = inside.groupBy("__s").agg(F.max(F.when(fits, F.col("__cut"))).alias("until"), (F.first("__need") - F.coalesce(F.max(F.when(fits, F.col("__run"))), F.lit(0))).alias("lack"))
-        rest = inside.filter(~fits).join(F.broadcast(whole), "__s").withColumn("__off", F.abs(F.col("w") - F.col("lack")))
-        extra = {r["__s"]: r.b["__cut"] for r in rest.filter(F.col("__off") < F.col("lack")).groupBy("__s").agg(F.min(F.struct("__off", "__cut")).alias("b")).collect()}
-        least = -(2**63)
-        cuts = {r["__s"]: [least if r.until is None else r.until, extra.get(r["__s"], least)] for r in whole.collect()}
+        inside = numbered(narrow, F.col("source")).join(F.broadcast(last), ["__s", "__block"]).withColumn("__try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+        inside = inside.groupBy("__s", "__try", "__need", F.xxhash64("__h", "__try").alias("__cut")).agg(F.sum("size").alias("w"))
+        inside = inside.withColumn("__run", F.sum("w").over(Window.partitionBy("__s", "__try").orderBy("__cut")))
+        fits, least = F.col("__run") <= F.col("__need"), F.lit(-(2**63)).cast("long")
+        whole = inside.groupBy("__s", "__try").agg(F.max(F.when(fits, F.col("__cut"))).alias("__until"), (F.first("__need") - F.coalesce(F.max(F.when(fits, F.col("__run"))), F.lit(0))).alias("__lack"))
+        rest = inside.filter(~fits).join(whole, ["__s", "__try"]).withColumn("__off", F.abs(F.col("w") - F.col("__lack"))).filter(F.col("__off") < F.col("__lack"))
+        extra = rest.groupBy("__s", "__try").agg(F.min(F.struct("__off", "__cut")).alias("b"))
+        ended = whole.join(extra, ["__s", "__try"], "left").withColumn("__off", F.coalesce("b.__off", "__lack"))
+        best = ended.groupBy("__s").agg(F.min(F.struct("__off", "__try", F.coalesce("__until", least).alias("until"), F.coalesce("b.__cut", least).alias("extra"))).alias("x"))
+        cuts = {r["__s"]: [r.x["__try"], r.x["until"], r.x["extra"]] for r in best.collect()}
 
     split = split_tree([len(d) for d in drawn], n_shards, rng)
     plan: dict[tuple[int, int], list[tuple[int, list[int] | None]]] = {}
@@ -141,7 +144,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = 1
     planned = spark.createDataFrame([(i, b, sorted(x, key=lambda y: (y[1] is not None, y[0]))) for (i, b), x in sorted(plan.items())], "__s int, __block int, __draws array<struct<shard: int, until: array<bigint>>>")
 
     out = numbered(rows, F.col(source_col)).join(F.broadcast(planned), ["__s", "__block"], "left")
-    mine = F.filter(F.coalesce("__draws", F.array().cast("array<struct<shard: int, until: array<bigint>>>")), lambda d: d["until"].isNull() | (F.col("__cut") <= d["until"][0]) | (F.col("__cut") == d["until"][1]))
+    mine = F.filter(F.coalesce("__draws", F.array().cast("array<struct<shard: int, until: array<bigint>>>")), lambda d: d["until"].isNull() | (F.xxhash64("__h", d["until"][0].cast("int")) <= d["until"][1]) | (F.xxhash64("__h", d["until"][0].cast("int")) == d["until"][2]))
     draws = F.transform(mine, lambda d, k: F.struct(d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 2), "__h", k).alias("place")))
     out = out.withColumn("draws", draws).withColumn("taken", F.col("size") * F.size("draws"))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), "size", "source_size", "target", "draws", "taken")
