@@ -341,3 +341,27 @@ def op7_secrets(spark, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     base = listed(F.filter("secrets", lambda s: s["kind"] != "crf"))
     return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+def redacted(text: str, spans: list[Span], mark: str) -> str:
+    """The text with each stretch of overlapping spans replaced by the mark."""
+    out, at = [], 0
+    for a, _, z in sorted(spans):
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, z)
+    return "".join(out) + text[at:]
+
+
+def redact(docs: DataFrame, model: tuple[Field, Shapes], text_col: str = "text", mark: str = "<secret>") -> DataFrame:
+    """docs with every secret of its text replaced by the mark; a null text stays null, and all other columns as they are."""
+    base = docs.withColumn("__text", F.col(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = scanner(*model)
+        for b in batches:
+            texts = [t if t is None else redacted(t, scan(t), mark) for t in b.column("__text").to_pylist()]
+            i = b.schema.names.index(text_col)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == i else b.column(k) for k in range(b.num_columns - 1)], b.schema.names[:-1])
+
+    return base.mapInArrow(run, docs.schema)
