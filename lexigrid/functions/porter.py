@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the published algorithm: suffixes and what takes their place where the stem before has a measure over 0.
@@ -82,9 +82,13 @@ def stem(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
-def stem_column(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")
+def stem_column(word: str) -> Column:
+    """The stem of a column; null stays null."""
+
+    def stems(words: pd.Series) -> pd.Series:
+        return words.map(stem, na_action="ignore")
+
+    return F.pandas_udf(stems, "string")(word)
 
 
 def with_stems(rows: DataFrame, word: str = "word") -> DataFrame:

@@ -55,9 +55,8 @@ def frequent_terms(dtm: DataFrame, share: float = 0.01) -> DataFrame:
 def ngram_counts(toks: DataFrame) -> DataFrame:
     """Counts of words and of adjacent pairs, joined by an underscore, of (doc, pos, term)."""
     after = F.lead("term").over(Window.partitionBy("doc").orderBy("pos"))
-    both = toks.select("doc", "term", after.alias("after"))
-    both = both.select("doc", F.explode(F.array_compact(F.array("term", F.concat_ws("_", "term", F.when(F.col("after").isNotNull(), F.col("after")))))).alias("term"), "after")
-    return both.filter("after is not null or not contains(term, '_')").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
+    both = toks.select("doc", F.array_compact(F.array("term", F.concat("term", F.lit("_"), after))).alias("terms"))
+    return both.select("doc", F.explode("terms").alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf(dtm: DataFrame) -> DataFrame:
