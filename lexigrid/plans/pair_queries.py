@@ -230,13 +230,13 @@ def topic_prevalence(spark, sf_dir):
     return topics.prevalence(gammas(spark, sf_dir)).withColumn("prevalence", F.round("prevalence", 6))
 
 
-@query("""WITH {b}, pairs AS (SELECT x.doc AS id_a, y.doc AS id_b FROM b x JOIN b y ON x.block = y.block AND x.doc < y.doc)
-SELECT id_a, id_b, a.text AS text_a, b.text AS text_b, a.source AS topic_a, nullif(b.source, 'src1') AS topic_b, coalesce((a.source = nullif(b.source, 'src1'))::INT, 0) AS same_topic
-FROM pairs JOIN documents a ON a.doc_id = id_a JOIN documents b ON b.doc_id = id_b WHERE a.lang = 'es'""".replace("{b}", BLOCKS).replace("nullif(b.source, 'src1')", "b.source"))
+@query(f"""WITH {BLOCKS}, pairs AS (SELECT x.doc AS id_a, y.doc AS id_b FROM b x JOIN b y ON x.block = y.block AND x.doc < y.doc), t AS (SELECT doc_id, text, nullif(source, 'src1') AS topic FROM documents)
+SELECT id_a, id_b, length(a.text)::INT AS length_a, length(b.text)::INT AS length_b, a.topic AS topic_a, b.topic AS topic_b, coalesce((a.topic = b.topic)::INT, 0) AS same_topic
+FROM pairs JOIN t a ON a.doc_id = id_a JOIN t b ON b.doc_id = id_b""")
 def final_merge(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    pairs = similarity.pairs(items(d.filter("lang = 'es'")))
-    return report.final_merge(pairs, d.select(F.col("doc_id").alias("id"), "text"), d.select(F.col("doc_id").alias("id"), F.col("source").alias("topic"))).select("id_a", "id_b", "text_a", "text_b", "topic_a", "topic_b", "same_topic")
+    d = docs(spark, sf_dir).withColumnRenamed("doc_id", "id")
+    merged = report.final_merge(similarity.pairs(items(docs(spark, sf_dir))), d.select("id", "text"), d.select("id", F.nullif("source", F.lit("src1")).alias("topic")))
+    return merged.select("id_a", "id_b", F.length("text_a").alias("length_a"), F.length("text_b").alias("length_b"), "topic_a", "topic_b", "same_topic")
 
 
 # Iterative fits: no SQL form; the tests hold them against planted structure.
@@ -258,7 +258,10 @@ def lda_topics(spark, sf_dir):
 
 
 def training_rows(spark, sf_dir: str) -> DataFrame:
-    return document_features(spark, sf_dir).withColumn("is_train", models.in_train())
+    """With one label in 200 turned by the ids: equal texts alone would be separated perfectly, which leaves a regression without finite coefficients."""
+    turned = (F.col("id_a") * 31 + F.col("id_b") * 17) % 200 == 0
+    rows = document_features(spark, sf_dir).withColumn("is_train", models.in_train())
+    return rows.withColumn("enemy_yes", F.when(turned, 1 - F.col("enemy_yes")).otherwise(F.col("enemy_yes")))
 
 
 @query()
