@@ -79,8 +79,7 @@ SELECT p.doc AS id_a, q.doc AS id_b, round(coalesce(o, 0) / nullif(coalesce(np.n
 FROM b p JOIN b q ON p.block = q.block AND p.doc < q.doc LEFT JOIN n np ON np.doc = p.doc LEFT JOIN n nq ON nq.doc = q.doc LEFT JOIN i ON i.a = p.doc AND i.b = q.doc""")
 def keyword_jaccard(spark, sf_dir):
     base = items(docs(spark, sf_dir)).select("id", "block", F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"))
-    both = similarity.pairs(base, cols=("words",))
-    return both.select("id_a", "id_b", F.round(t.jaccard(F.col("words_a"), F.col("words_b")), 6).alias("jaccard"))
+    return similarity.set_jaccard(base).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"""WITH d AS (SELECT DISTINCT doc, term FROM ({tokens()})), q AS (SELECT DISTINCT doc AS item, term FROM ({tokens('benchmark', 'item_id')})), n AS (SELECT item, count(*) AS n FROM q GROUP BY item)
