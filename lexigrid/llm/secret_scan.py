@@ -12,7 +12,6 @@ words are decoded.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,18 +35,21 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 WEAK_CUES = {b"key", b"keys", b"auth", b"pwd", b"pass", b"credential", b"credentials", b"bearer", b"authorization"}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CORE = re.compile(rb"[A-Za-z0-9+/_.=-]+")
+CUE = re.compile(rb"password|passwd|secret|token|api_?key", re.IGNORECASE)
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LETTERS, DIGITS = UPPER + UPPER.lower(), b"0123456789"
 O, B, I = 0, 1, 2  # noqa: E741
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
 
-def base_spans(text: str, words: list[bytes]) -> list[Span]:
+def base_spans(text: str, words: list[bytes], data: bytes | None = None) -> list[Span]:
     """Spans of the base patterns by start, then kind; a match that is too short is dropped.
 
     No pattern but the first crosses white space, so the words tell whether a text can hold a match at all.
     """
     out: list[Span] = []
-    low = utf8(text).lower()
+    low = (utf8(text) if data is None else data).lower()
     if any(c in low for c in CUES):
         out += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
     if "AKIA" in text:
@@ -61,20 +63,30 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def length_class(n: int) -> str:
+    return "n:" + ("0" if n < 4 else "4" if n < 8 else "8" if n < 16 else "16" if n < 32 else "32")
+
+
+#: Of words of ASCII letters alone, by their length up to 32.
+PLAIN = tuple(("any", length_class(n), "letters") for n in range(33))
+
+
 def attributes(word: bytes) -> tuple[str, ...]:
     """The shape of a word."""
+    if word.isalpha() and not CUE.search(word) and word.lower() not in WEAK_CUES:
+        return PLAIN[min(len(word), 32)]
     low = word.lower()
     core = max(CORE.findall(word), key=len, default=b"")
-    digit, letter = any(48 <= c <= 57 for c in core), any(65 <= c <= 90 or 97 <= c <= 122 for c in core)
-    upper = any(65 <= c <= 90 for c in core[1:])
     n = len(core)
-    out = ["any", "n:" + ("0" if n < 4 else "4" if n < 8 else "8" if n < 16 else "16" if n < 32 else "32")]
+    digit, letter = len(core.translate(None, DIGITS)) < n, len(core.translate(None, LETTERS)) < n
+    upper = len(core[1:].translate(None, UPPER)) < n - 1
+    out = ["any", length_class(n)]
     out.append("mixed" if digit and letter else "digits" if digit else "letters" if letter else "other")
-    if digit and n >= 16 and all(c in b"0123456789abcdefABCDEF" for c in core):
+    if digit and n >= 16 and not core.translate(None, b"0123456789abcdefABCDEF"):
         out.append("hex")
     if upper and digit:
         out.append("upper")
-    if any(c in low for c in CUES):
+    if CUE.search(word):
         out.append("cue")
     elif low.strip(b"\"'`:=,;()[]{}<>") in WEAK_CUES:
         out.append("weak cue")
@@ -103,8 +115,9 @@ class Shapes:
         if len(self.memo) > most:
             self.memo.clear()
         memo = self.memo
-        for w in set(words) - memo.keys():
-            memo[w] = self.of.setdefault(attributes(w), len(self.of))
+        for w in set(words):
+            if w not in memo:
+                memo[w] = self.of.setdefault(attributes(w), len(self.of))
         return np.fromiter(map(memo.__getitem__, words), np.int32, len(words))
 
     def matrix(self) -> np.ndarray:
@@ -114,12 +127,17 @@ class Shapes:
         return m
 
 
-def file_class(ids: np.ndarray, matrix: np.ndarray) -> int:
+def file_marks(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shapes have a cue, and which digits."""
+    return matrix[:, AT["cue"]] > 0, matrix[:, AT["mixed"]] + matrix[:, AT["digits"]] > 0
+
+
+def file_class(ids: np.ndarray, marks: tuple[np.ndarray, np.ndarray]) -> int:
     """What the whole text looks like: whether it has a cue, and whether over 2 % of its words hold digits."""
     if not len(ids):
         return 0
-    seen = matrix[ids]
-    return 2 * bool(seen[:, AT["cue"]].any()) + bool((seen[:, AT["mixed"]] + seen[:, AT["digits"]]).mean() > 0.02)
+    cue, digit = marks
+    return 2 * bool(cue[ids].any()) + bool(np.count_nonzero(digit[ids]) > 0.02 * len(ids))
 
 
 @dataclass
@@ -248,7 +266,7 @@ def _windows(length: int, per_text: int):
                     if not tags[i:j].any():
                         tags[i:j] = I
                         tags[i] = B
-                kind = file_class(shapes.ids(words), shapes.matrix())
+                kind = file_class(shapes.ids(words), file_marks(shapes.matrix()))
                 middle = sorted({int(np.searchsorted(ends, a, "right")) for a, _, _ in spans})[:per_text] or [len(words) // 2]
                 for c in middle:
                     lo = max(0, c - length // 2)
@@ -285,15 +303,16 @@ def scanner(model: Field, shapes: Shapes):
     state: dict = {"n": -1}
 
     def scan(text: str | None) -> list[Span]:
-        words = utf8(text).split()
+        data = utf8(text)
+        words = data.split()
         if not words:
             return []
-        spans = base_spans(text, words)
+        spans = base_spans(text, words, data)
         ids = own.ids(words)
         if state["n"] != len(own.of):
             state["n"], state["matrix"] = len(own.of), own.matrix()
-            state["by"] = model.by_shape(state["matrix"])
-        tagged = decode(model.scores(ids, file_class(ids, state["matrix"]), state["by"]), model.moves)
+            state["by"], state["marks"] = model.by_shape(state["matrix"]), file_marks(state["matrix"])
+        tagged = decode(model.scores(ids, file_class(ids, state["marks"]), state["by"]), model.moves)
         if not tagged:
             return spans
         starts, ends = word_places(text)
