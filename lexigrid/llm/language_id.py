@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, utf8, written
+from .common import fold_of, utf8
 
 UNKNOWN = "und"
 #: ASCII that is no letter to a space; what is not ASCII stays.

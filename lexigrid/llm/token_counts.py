@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ def _mark(name: str):
     return run
 
 
-def _splice(key: tuple, pdf):
+def _splice(key: tuple[str], pdf: pd.DataFrame) -> pd.DataFrame:
     chunks = pdf.drop_duplicates("k").sort_values("k").to_dict("records")
     n = spliced(chunks)
     return pdf.head(1)[["uid"]].assign(n_tokens=-1 if n is None else n)
