@@ -230,11 +230,11 @@ def copies(rng, n=120):
     return rows
 
 
-@pytest.mark.parametrize(("family", "block", "hot"), [(256, 256, 200_000), (1, 2, 200_000), (3, 256, 0)])
-def test_components_match_brute_force(spark, family, block, hot):
+@pytest.mark.parametrize(("family", "block", "hot", "small"), [(256, 256, 200_000, 32), (1, 2, 200_000, 0), (1, 2, 0, 3), (3, 256, 0, 32)])
+def test_components_match_brute_force(spark, family, block, hot, small):
     rows = copies(random.Random(family)) + [(500, None), (501, ""), (502, "One two"), (503, "ONE two"), (504, "one two three"), (505, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, family=family, block=block, max_hot=hot).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, family=family, block=block, max_hot=hot, small=small).collect()}
     assert got == brute_components(rows)
 
 
