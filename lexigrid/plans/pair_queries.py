@@ -124,6 +124,18 @@ def document_features(spark, sf_dir: str) -> DataFrame:
     return features.complete(features.pair_features(labelled, base, ("source", "lang")))
 
 
+def whole_features(spark, sf_dir: str) -> DataFrame:
+    """The labelled feature table of all pairs, without blocks: cosine 0 where no kept word is shared; documents without a kept word have no cosine and make no rows."""
+    dtm = kept_counts(spark, sf_dir)
+    base = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", "source", F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"), t.word_count(F.col("text")).alias("n_words"))
+    base = base.join(dtm.select(F.col("doc").alias("id")).distinct(), "id", "left_semi")
+    one = base.select(F.col("id").alias("doc"), F.lit("").alias("block"))
+    words = similarity.set_jaccard(base, None).withColumnRenamed("jaccard", "jaccard_value")
+    scored = words.join(similarity.vsm_cosine(dtm, one), ["id_a", "id_b"], "left").select("id_a", "id_b", "jaccard_value", F.coalesce("cosine", F.lit(0.0)).alias("cosine_value"))
+    labelled = features.label_pairs(scored, enemies(spark, sf_dir))
+    return features.complete(features.pair_features(labelled, base, ("source", "lang")))
+
+
 PAIRS_SQL = rf"""{KEPT}, {NORMS}, {BLOCKS}, {LABELS}, c AS ({_cosine()}),
 sets AS (SELECT DISTINCT doc, term FROM ({tokens()})), sn AS (SELECT doc, count(*) AS n FROM sets GROUP BY doc),
 o AS (SELECT c.id_a, c.id_b, count(*) AS o FROM c JOIN sets x ON x.doc = c.id_a JOIN sets y ON y.doc = c.id_b AND x.term = y.term GROUP BY 1, 2),
@@ -259,7 +271,7 @@ def lda_topics(spark, sf_dir):
 def training_rows(spark, sf_dir: str) -> DataFrame:
     """With one label in 200 turned by the ids: equal texts alone would be separated perfectly, which leaves a regression without finite coefficients."""
     turned = (F.col("id_a") * 31 + F.col("id_b") * 17) % 200 == 0
-    rows = document_features(spark, sf_dir).withColumn("is_train", models.in_train())
+    rows = whole_features(spark, sf_dir).withColumn("is_train", models.in_train())
     return rows.withColumn("enemy_yes", F.when(turned, 1 - F.col("enemy_yes")).otherwise(F.col("enemy_yes")))
 
 
@@ -267,8 +279,10 @@ def training_rows(spark, sf_dir: str) -> DataFrame:
 def logit_report(spark, sf_dir):
     rows = training_rows(spark, sf_dir).cache()
     used = ("cosine_value", "jaccard_value", "same_source")
-    model = models.fit_logit(models.smote(rows.filter("is_train"), used), used)
+    balanced = models.smote(rows.filter("is_train"), used).cache()
+    model = models.fit_logit(balanced, used)
     out = spark.createDataFrame(models.coefficients(model, used), "term string, coefficient double, std_error double, p_value double")
+    balanced.unpersist()
     rows.unpersist()
     return out
 
