@@ -125,15 +125,14 @@ def document_features(spark, sf_dir: str) -> DataFrame:
 
 
 def whole_features(spark, sf_dir: str) -> DataFrame:
-    """The labelled feature table of all pairs, without blocks: cosine 0 where no kept word is shared; documents without a kept word have no cosine and make no rows."""
+    """The labelled feature table of all pairs, without blocks: cosine 0 where no kept word is shared; documents without a kept word have no cosine and make no rows. Each two documents of one text are enemies."""
     dtm = kept_counts(spark, sf_dir)
-    base = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", "source", F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"), t.word_count(F.col("text")).alias("n_words"))
+    base = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", "source", F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"), t.word_count(F.col("text")).alias("n_words"), F.unhex(F.sha2("text", 256)).alias("text"))
     base = base.join(dtm.select(F.col("doc").alias("id")).distinct(), "id", "left_semi")
     one = base.select(F.col("id").alias("doc"), F.lit("").alias("block"))
     words = similarity.set_jaccard(base, None).withColumnRenamed("jaccard", "jaccard_value")
     scored = words.join(similarity.vsm_cosine(dtm, one), ["id_a", "id_b"], "left").select("id_a", "id_b", "jaccard_value", F.coalesce("cosine", F.lit(0.0)).alias("cosine_value"))
-    labelled = features.label_pairs(scored, enemies(spark, sf_dir))
-    return features.complete(features.pair_features(labelled, base, ("source", "lang")))
+    return features.complete(features.pair_features(scored, base, ("source", "lang", "text")).withColumnRenamed("same_text", "enemy_yes"))
 
 
 PAIRS_SQL = rf"""{KEPT}, {NORMS}, {BLOCKS}, {LABELS}, c AS ({_cosine()}),
