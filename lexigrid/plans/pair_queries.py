@@ -263,8 +263,8 @@ def lsa_cosine(spark, sf_dir):
 @query()
 def lda_topics(spark, sf_dir):
     toks = terms.without(terms.doc_tokens(read_table(spark, sf_dir, "conversations").withColumn("doc", F.col("conv_id") * 1000 + F.col("turn")), "doc", t.clean_text(F.col("text"))), stops(spark))
-    v, words = topics.vectors(toks, 5_000)
-    return topics.topic_terms(topics.fit_lda(v, 10, 5), words)
+    v, words = topics.vectors(toks)
+    return topics.topic_terms(topics.fit_lda(v), words)
 
 
 def training_rows(spark, sf_dir: str) -> DataFrame:
