@@ -293,5 +293,5 @@ def scored_pairs(spark, sf_dir):
     used = ("cosine_value", "jaccard_value", "same_source", "avg_item_length")
     balanced = models.smote(rows.filter("is_train"), used).cache()
     out = models.score(models.fit_logit(balanced, used), rows, "prob_prediction_lr")
-    out = models.score(models.fit_forest(balanced, used, trees=20), out, "prob_prediction_rf")
+    out = models.score(models.fit_forest(balanced, used), out, "prob_prediction_rf")
     return report.flags(out, {"prob_prediction_lr": "lr", "prob_prediction_rf": "rf"})
