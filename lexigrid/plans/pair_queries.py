@@ -254,8 +254,7 @@ def final_merge(spark, sf_dir):
 
 @query()
 def lsa_cosine(spark, sf_dir):
-    b = read_table(spark, sf_dir, "benchmark")
-    grams = terms.ngram_counts(terms.doc_tokens(b, "item_id", t.clean_text(F.col("text"))))
+    grams = terms.ngram_counts(terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text"))))
     common = grams.groupBy("term").agg(F.sum("n").alias("s")).filter("s > 2").select("term")
     return similarity.dense_cosine(similarity.lsa(terms.tfidf(grams.join(common, "term")), 50, 10))
 
