@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,21 +23,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="lexigrid-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    return d or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lexigrid"
+
+
+class Scratch:
+    """The tables of one run, in a folder of its own under the shared one. They cut lineage and survive lost executors."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/lexigrid/{name}-{uuid.uuid4().hex}", 0
+
+    def new(self, name: str) -> str:
+        self.n += 1
+        return f"{self.path}/{self.n}-{name}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table, read again."""
+        path = self.new(name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes what written() gave; for tables that nothing still to be run reads."""
+        for t in tables:
+            remove(self.spark, t._scratch)
+
+    def clear(self) -> None:
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the tables of all runs; to be called when no result that was given is still to be read."""
+    remove(spark, f"{shared_dir(spark)}/lexigrid")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigrid/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder, read again: cuts lineage and survives lost executors. It stays as long as the result may be read."""
+    return Scratch(df.sparkSession, name).written(df, name)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with up to ``most`` bytes in a text column, or one row.
+
+    What Python makes of a text is many times its size, and a batch may be all of a task. At the end, freed
+    memory goes back to the system: Spark keeps the worker for later tasks.
+    """
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < len(b):
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+    give_back()
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def words_of(text: Column) -> Column:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -230,11 +231,11 @@ def copies(rng, n=120):
     return rows
 
 
-@pytest.mark.parametrize(("family", "block", "hot", "small"), [(256, 256, 200_000, 32), (1, 2, 200_000, 0), (1, 2, 0, 3), (3, 256, 0, 32)])
-def test_components_match_brute_force(spark, family, block, hot, small):
-    rows = copies(random.Random(family)) + [(500, None), (501, ""), (502, "One two"), (503, "ONE two"), (504, "one two three"), (505, None)]
+@pytest.mark.parametrize(("seed", "block", "hot", "small"), [(256, 256, 200_000, 32), (1, 2, 200_000, 2), (2, 3, 0, 3), (3, 16, 0, 2)])
+def test_components_match_brute_force(spark, seed, block, hot, small):
+    rows = copies(random.Random(seed)) + [(500, None), (501, ""), (502, "One two"), (503, "ONE two"), (504, "one two three"), (505, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, family=family, block=block, max_hot=hot, small=small).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(df, block=block, max_hot=hot, small=small).collect()}
     assert got == brute_components(rows)
 
 
@@ -248,6 +249,53 @@ def test_join_edges(spark, docs, empty):
     assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter({i: 1 for i in set(want.values())})
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_a_large_family_of_near_copies(spark, block):
+    """One text with many edits: a component of most, and many sets just below the threshold."""
+    rng = random.Random(11)
+    base, rows = lorem(rng, 150).split(), []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 8])):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    want = brute_components(rows)
+    assert got == want and 100 < Counter(want.values()).most_common(1)[0][1] < 400
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(12)
+    a, b, c = (lorem(rng, 40) for _ in range(3))
+    rows = [(3, a), (5, a), (2, b), (5, b), (9, c), (None, c), (None, c + " "), (None, lorem(rng, 30)), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.ngram_components(df).collect())
+    assert got == Counter({(3, 2): 1, (5, 2): 2, (2, 2): 1, (9, 9): 1, (None, 9): 2, (None, None): 3})
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(df).collect())
+    assert kept == Counter({(2, b): 1, (9, c): 1, (None, rows[7][1]): 1, (None, ""): 1, (None, None): 1})
+    alone = spark.createDataFrame([(None, c), (None, c), (None, c + "  ")], "doc_id long, text string")
+    assert ngram_join.one_of_each(alone).count() == 1
+
+
+def test_word_hashes_are_of_words():
+    """Words are the same wherever they stand, whatever stands beside them, over pieces and long words."""
+    rng = random.Random(13)
+    texts = [None, "", "  ", "A b", "x" * 300_000 + " y", "é" * 200 + "\x0b" + "E\u00a0z"] + [" ".join(rng.choice(["Aa", "bB", "c" * 400, "d" * 254, "日本"]) for _ in range(rng.randint(0, 2000))) + "\n" * rng.randint(0, 3) for _ in range(60)]
+    big = pa.array(texts * 2)
+    data = b"".join((t or "").encode() for t in texts * 2)
+    docs = np.cumsum([0, *(len((t or "").encode()) for t in texts * 2)])
+    h, ends = ngram_join.word_hashes(np.frombuffer(data, np.uint8), docs)
+    words = [w for t in texts * 2 for w in (t or "").encode().lower().split()]
+    assert len(h) == len(words) and np.diff([0, *ends]).tolist() == [len((t or "").encode().split()) for t in texts * 2]
+    by = {}
+    for w, x in zip(words, h.tolist(), strict=True):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+    for t, s in zip(texts, ngram_join.shingles(big.slice(len(texts))), strict=True):
+        w = (t or "").encode().lower().split()
+        assert len(s) == len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else ())
+
+
 def test_trie_links_share_paths():
     sets = [np.array(x, np.int64) for x in ([1, 2, 3, 4], [1, 2, 3, 5], [1, 2, 3, 4, 6], [9])]
     rows = [(i, i, s) for i, s in enumerate(sets)]
