@@ -5,13 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space: the separators of the word pattern [^\x20\x09-\x0D]+.
 SPACE = " \t\n\x0b\x0c\r"
@@ -87,6 +89,42 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
     give_back()
 
 
+def carried(docs: DataFrame, text_col: str, keep: list[str], replaced: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
+    """(frame for an operator in Arrow batches, names of the columns it gives on, name of its text column).
+
+    The text is there once: in its own place where it is kept, else last as __text.
+    """
+    names = [c for c in keep if c not in replaced]
+    cols = [F.col(f"`{c}`") for c in names]
+    return (docs.select(*cols), names, text_col) if text_col in names else (docs.select(*cols, F.col(f"`{text_col}`").alias("__text")), names, "__text")
+
+
+def but_text(docs: DataFrame, text_col: str, keep: list[str] | None) -> list[str]:
+    return keep if keep is not None else [c for c in docs.columns if c != text_col]
+
+
+def fields_of(df: DataFrame, names: list[str]) -> list[T.StructField]:
+    return [df.schema[n] for n in names]
+
+
+def shielded(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """op(docs, …) with the columns of docs that begin with __, as those of the operators do, under other names meanwhile."""
+
+    @wraps(op)
+    def run(docs: DataFrame, *args, **kw) -> DataFrame:
+        hidden = {c: f"shielded {i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not hidden:
+            return op(docs, *args, **kw)
+
+        def swap(v):
+            return [swap(x) for x in v] if isinstance(v, list) else hidden.get(v, v) if isinstance(v, str) else v
+
+        out = op(docs.withColumnsRenamed(hidden), *map(swap, args), **{k: swap(v) for k, v in kw.items()})
+        return out.withColumnsRenamed({v: k for k, v in hidden.items()})
+
+    return run
+
+
 def give_back() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -2,7 +2,11 @@
 
 Each text is held against plain rules. The failures are added up by host; a beta prior fitted to all hosts
 by the method of moments shrinks each host's rate towards the common one, the more the fewer its documents.
-A host whose shrunk rate is over the limit loses all its documents.
+A host whose shrunk rate lies beyond what the prior lets expect loses all its documents: over the prior's mean
+by ``deviations`` of its standard deviations, but in no case below ``least_rate`` nor above ``max_rate``.
+
+The words of a text, their hashes and their places are arrays of one row: a task needs some 60 bytes for each
+word of its longest text (1 GB for a text of 100 MB).
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table, words_of, written
+from .common import let, shielded, table, words_of, written
 
 
 def repeated_words(words: Column) -> Column:
@@ -54,12 +58,12 @@ def measured(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_r
     return out.withColumn("base_failed", failed)
 
 
-def host_rates(rows: DataFrame, host_col: str) -> DataFrame:
-    """(host, docs, failures, rate): rate is the posterior mean under the beta prior fitted to all hosts.
+def host_rates(rows: DataFrame, host_col: str, deviations: float = 3.0, least_rate: float = 0.25, max_rate: float = 0.5) -> DataFrame:
+    """(host, docs, failures, rate, limit): rate is the posterior mean under the beta prior fitted to all hosts.
 
     With m the common rate and S the sum of n (f/n - m)^2 over the hosts, the intra-host correlation is
     (S / (m (1 - m)) - (H - 1)) / (N - sum n^2 / N - (H - 1)), held between 1e-6 and 1; the prior weighs as
-    many documents as its inverse less one.
+    many documents as its inverse less one, and its variance is m (1 - m) times the correlation.
     """
     hosts = rows.filter(F.col(host_col).isNotNull()).groupBy(F.col(host_col).alias("host")).agg(F.count(F.lit(1)).alias("docs"), F.count_if("base_failed").alias("failures"))
     n, f = F.col("docs").cast("double"), F.col("failures").cast("double")
@@ -67,23 +71,27 @@ def host_rates(rows: DataFrame, host_col: str) -> DataFrame:
     m = F.col("sf") / F.col("sn")
     spread = F.try_divide(F.col("sff") - F.col("sf") * m, m * (1 - m)) - (F.col("hn") - 1)
     rho = F.try_divide(spread, F.col("sn") - F.col("snn") / F.col("sn") - (F.col("hn") - 1))
-    prior = sums.select(m.alias("m"), (1 / F.least(F.greatest(F.coalesce(rho, F.lit(1e-6)), F.lit(1e-6)), F.lit(1.0)) - 1).alias("weight"))
+    sums = sums.select(m.alias("m"), F.least(F.greatest(F.coalesce(rho, F.lit(1e-6)), F.lit(1e-6)), F.lit(1.0)).alias("rho"))
+    limit = F.least(F.lit(max_rate), F.greatest(F.lit(least_rate), F.col("m") + deviations * F.sqrt(F.col("m") * (1 - F.col("m")) * F.col("rho"))))
+    prior = sums.select("m", (1 / F.col("rho") - 1).alias("weight"), limit.alias("limit"))
     # One row against the hosts.
-    return hosts.join(F.broadcast(prior), F.lit(True)).select("host", "docs", "failures", ((f + F.col("m") * F.col("weight")) / (n + F.col("weight"))).alias("rate"))
+    return hosts.join(F.broadcast(prior), F.lit(True)).select("host", "docs", "failures", ((f + F.col("m") * F.col("weight")) / (n + F.col("weight"))).alias("rate"), "limit")
 
 
-def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_host_rate: float = 0.5) -> DataFrame:
+@shielded
+def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "text", deviations: float = 3.0, least_rate: float = 0.25, max_rate: float = 0.5) -> DataFrame:
     """docs without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate and kept.
 
-    kept: the text passes and its host's rate is at most max_host_rate. A row without a host is judged by
-    itself. Repeated rows count each; columns of these names are replaced; an empty table gives an empty one.
+    kept: the text passes and its host's rate is at most the limit. A row without a host is judged by itself.
+    Repeated rows count each; columns of these names are replaced; an empty table gives an empty one.
     """
     new = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", "kept")
     rows = written(measured(docs.drop(*new), text_col), "quality")
-    rates = host_rates(rows, host_col).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
+    rates = host_rates(rows, host_col, deviations, least_rate, max_rate).select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "limit")
     # The hot hosts are on the left: a join that the optimizer may split by their rows.
+    rates = rates.withColumn("__fits", F.col("host_rate") <= F.col("limit")).drop("limit")
     out = rows.join(rates, rows[host_col] == F.col("__host"), "left").drop("__host")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_rate") <= max_host_rate, F.lit(True)))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce("__fits", F.lit(True))).drop("__fits")
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -115,11 +123,13 @@ WITH w AS (
   SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (WHERE base_failed)::DOUBLE AS f FROM b WHERE source IS NOT NULL GROUP BY source
 ), s AS (
   SELECT count(*)::DOUBLE AS hn, sum(n) AS sn, sum(f) AS sf, sum(n * n) AS snn, sum(f * f / n) AS sff, sum(f) / sum(n) AS m FROM h
+), q AS (
+  SELECT m, least(greatest(coalesce(((sff - sf * m) / nullif(m * (1 - m), 0) - (hn - 1)) / nullif(sn - snn / sn - (hn - 1), 0), 1e-6), 1e-6), 1.0) AS rho FROM s
 ), p AS (
-  SELECT m, 1 / least(greatest(coalesce(((sff - sf * m) / nullif(m * (1 - m), 0) - (hn - 1)) / nullif(sn - snn / sn - (hn - 1), 0), 1e-6), 1e-6), 1.0) - 1 AS weight FROM s
+  SELECT m, 1 / rho - 1 AS weight, least(0.5, greatest(0.25, m + 3.0 * sqrt(m * (1 - m) * rho))) AS lim FROM q
 ), r AS (
-  SELECT source, (f + m * weight) / (n + weight) AS rate FROM h, p
+  SELECT source, (f + m * weight) / (n + weight) AS rate, lim FROM h, p
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate <= 0.5, true) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate <= lim, true) AS kept
 FROM b LEFT JOIN r USING (source)
 """
