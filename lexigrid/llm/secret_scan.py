@@ -3,7 +3,11 @@
 Fixed patterns give the base spans. A random field over the words of a text tags each as begin, inside or
 outside of a secret, from the shape of the word, of two words before and one after, and from what the whole
 file looks like; Viterbi decoding finds the best tags. What it tags clear of the base spans is added. It is
-trained on windows around the base spans of a bounded sample of texts and on windows without any.
+trained on windows around the base spans of a bounded sample of texts and on windows without any, most of them
+around words with digits. Patterns can only teach what they match already, so each window with a secret comes
+in further forms: its cue and delimiters taken away or replaced, its value in other letters, shorter, or a random
+key; and windows without one get harmless words of like length (addresses, dates, versions, numbers) in the
+middle. So shape and neighbours have to carry what the patterns can't.
 
 Decoding is exact but cheap: where a word's score for outside beats the others by more than twice the spread of
 the transitions, the best path is outside there whatever stands beside it, so only the stretches between such
@@ -12,6 +16,7 @@ words are decoded.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, utf8, written
+from .common import Scratch, carried, fields_of, shielded, sliced, table, utf8
 
 # The base patterns, their kinds in order, and the least length of what must be long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -35,6 +40,7 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 WEAK_CUES = {b"key", b"keys", b"auth", b"pwd", b"pass", b"credential", b"credentials", b"bearer", b"authorization"}
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CORE = re.compile(rb"[A-Za-z0-9+/_.=-]+")
+RUNS = re.compile(rb"[a-z]+|[A-Z]+|[0-9]+")
 CUE = re.compile(rb"password|passwd|secret|token|api_?key", re.IGNORECASE)
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTERS, DIGITS = UPPER + UPPER.lower(), b"0123456789"
@@ -94,11 +100,20 @@ def attributes(word: bytes) -> tuple[str, ...]:
         out.append("sets")
     if word[:1] in (b'"', b"'", b"`"):
         out.append("quoted")
+    runs = len(RUNS.findall(core)) if n >= 12 else 0
+    if runs >= 5:
+        out.append("jumbled" if 5 * runs >= 2 * n else "runs")
+    if b"@" in word:
+        out.append("at")
+    if b"://" in word or low.startswith(b"www."):
+        out.append("url")
+    if len(core.translate(None, b"./-_")) < n - 1:
+        out.append("parted")
     return tuple(out)
 
 
 #: Every attribute, in a fixed order.
-NAMES = ("any", "n:0", "n:4", "n:8", "n:16", "n:32", "mixed", "digits", "letters", "other", "hex", "upper", "cue", "weak cue", "sets", "quoted")
+NAMES = ("any", "n:0", "n:4", "n:8", "n:16", "n:32", "mixed", "digits", "letters", "other", "hex", "upper", "cue", "weak cue", "sets", "quoted", "runs", "jumbled", "at", "url", "parted")
 AT = {a: i for i, a in enumerate(NAMES)}
 PLACES = (0, -1, -2, 1)  # the word itself, one and two before, one after
 FILES = 4
@@ -190,7 +205,7 @@ def decode(scores: np.ndarray, moves: np.ndarray) -> dict[int, int]:
     return out
 
 
-def train(sequences: list[tuple[np.ndarray, np.ndarray, int]], matrix: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Field:
+def train(sequences: list[tuple[np.ndarray, np.ndarray, int]], matrix: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> Field:
     """Maximum likelihood with a square penalty, by Adam; sequences of (shapes with two before and one after, tags, file class) of one length."""
     model = Field()
     if not sequences:
@@ -252,7 +267,7 @@ def _windows(length: int, per_text: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
-        for b in batches:
+        for b in sliced(batches, "text"):
             out_words, out_tags, out_file, out_base = [], [], [], []
             for text in b.column("text").to_pylist():
                 words = utf8(text).split()
@@ -267,7 +282,9 @@ def _windows(length: int, per_text: int):
                         tags[i:j] = I
                         tags[i] = B
                 kind = file_class(shapes.ids(words), file_marks(shapes.matrix()))
-                middle = sorted({int(np.searchsorted(ends, a, "right")) for a, _, _ in spans})[:per_text] or [len(words) // 2]
+                middle = sorted({int(np.searchsorted(ends, a, "right")) for a, _, _ in spans})[:per_text]
+                if not middle:  # the longest word with a digit, and the middle
+                    middle = sorted({max((k for k, w in enumerate(words) if len(w.translate(None, DIGITS)) < len(w)), key=lambda k: len(words[k]), default=0), len(words) // 2})
                 for c in middle:
                     lo = max(0, c - length // 2)
                     part = words[max(0, lo - 2) : lo + length + 1]
@@ -280,20 +297,84 @@ def _windows(length: int, per_text: int):
     return run
 
 
-def fit_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = 6_000, max_windows: int = 2_000, length: int = 24) -> tuple[Field, Shapes]:
-    """Trains on windows of at most max_texts texts (the first by a hash of the id): up to max_windows with base spans, and as many without."""
+#: Words that look odd and are no secrets.
+HARMLESS = (
+    "2024-01-15T10:32:00Z", "2023/11/05", "12:45:09", "v2.13.1", "1.0.0-beta.4", "https://example.org/a/b?id=4711", "http://localhost:8080/index.html",
+    "www.example.com/page2", "src/main/java8/File2.java", "10.0.0.1:8080", "192.168.100.254", "COVID-19", "ISO-8859-1", "sha256", "utf8", "mp3",
+    "978-3-16-148410-0", "doi:10.1000/182", "user.name42@mail7.example.com", "jane_doe+news@example.org", "4041894974608795", "+49-170-1234567",
+    "(555)", "555-0199", "$1,234.56", "1234567890", "20240115103200", "fe80::1ff:fe23:4567:890a", "3.5GHz", "HttpServer2RequestHandler3", "IMG_20240115_103200.jpg", "Q3/2024", "x86_64-linux-gnu",
+)
+BASE62 = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def secret_value(words: list[bytes]) -> bytes:
+    """The value in the words of a base span: the longest stretch of its last word, behind what sets it."""
+    return max(CORE.findall(re.split(rb"[:=]", words[-1].rstrip(b"="))[-1]), key=len, default=b"")
+
+
+def disguised(value: bytes, rng: random.Random) -> bytes:
+    """Another form of a value that no base pattern need match."""
+    how = rng.randrange(5)
+    if how == 0:
+        return value
+    if how == 1:
+        return value.upper()
+    if how == 2:
+        return bytes(c ^ 32 if 65 <= c & ~32 <= 90 and rng.random() < 0.5 else c for c in value)
+    if how == 3:
+        return value[: rng.randint(16, 30)]
+    return bytes(rng.choice(BASE62) for _ in range(rng.randint(18, 44)))
+
+
+def further_forms(words: list[bytes], tags: list[int], file: int, length: int, rng: random.Random) -> list[tuple[list[bytes], list[int], int]]:
+    """Of a window (two words, then those of tags, then one): two with its secrets disguised, or without a secret two with a harmless word, once as the first of its text."""
+    out = []
+    if B not in tags:
+        k = 2 + len(tags) // 2
+        inside = ([*words[:k], rng.choice(HARMLESS).encode(), *words[k + 1 :]], tags, file)
+        first = ([b"", b"", rng.choice(HARMLESS).encode(), *words[k + 1 :]], [O] * (len(words) - k - 1), file)
+        return [inside, first]
+    for _ in range(2):
+        new, marks, k = list(words[:2]), [], 0
+        while k < len(tags):
+            end = k + 1
+            if tags[k] == B:
+                while end < len(tags) and tags[end] == I:
+                    end += 1
+                value = disguised(secret_value(words[2 + k : 2 + end]), rng)
+                if len(value) < 12:
+                    value = bytes(rng.choice(BASE62) for _ in range(rng.randint(18, 44)))
+                before = rng.choice(([], [], [b"bearer"], [b"Authorization:", b"Bearer"], [b"key"], [b"key:"], [b"auth"], [b"credentials"]))
+                quote = rng.choice((b"", b"", b'"', b"'"))
+                new += [*before, quote + value + quote]
+                marks += [*[O] * len(before), B]
+            else:
+                new.append(words[2 + k])
+                marks.append(O)
+            k = end
+        new += words[2 + len(tags) :]
+        out.append((new[: 3 + length], marks[:length], file & 1))
+    return out
+
+
+def fit_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = 6_000, max_windows: int = 1_500, length: int = 12) -> tuple[Field, Shapes]:
+    """Trains on windows of at most max_texts texts (the first by a hash of the id): up to max_windows with base spans, as many without, and further forms of each."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = rows.select("id").filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_texts)
     sample = rows.join(F.broadcast(ids), "id").select("text")
-    windows = written(sample.mapInArrow(_windows(length, 3), "words array<binary>, tags array<int>, file int, base boolean"), "secret-windows")
+    scratch = Scratch(docs.sparkSession, "secrets")
+    windows = scratch.written(sample.mapInArrow(_windows(length, 3), "words array<binary>, tags array<int>, file int, base boolean"), "windows")
     key = F.xxhash64(F.to_json(F.struct("words", "tags")))
     picked = [windows.filter(F.col("base") == base).orderBy(key).limit(max_windows).collect() for base in (True, False)]
+    scratch.clear()
+    rows = sorted(([bytes(w) for w in r.words], list(r.tags), r.file) for p in picked for r in p)
+    rng = random.Random(0)
+    rows += [x for row in rows for x in further_forms(*row, length, rng)]
     shapes, raw = Shapes(), []
-    for r in sorted((r for p in picked for r in p), key=lambda r: ([bytes(w) for w in r.words], r.file)):
-        words = [bytes(w) for w in r.words]
+    for words, tags, file in rows:
         ids_ = shapes.ids([w for w in words if w])
         ids_ = np.concatenate([np.zeros(len(words) - len(ids_), np.int32), ids_])
-        raw.append((np.pad(ids_, (0, length + 3 - len(ids_))), np.pad(np.array(r.tags, np.int32), (0, length - len(r.tags))), r.file))
+        raw.append((np.pad(ids_, (0, length + 3 - len(ids_))), np.pad(np.array(tags, np.int32), (0, length - len(tags))), file))
     return train(raw, shapes.matrix()), shapes
 
 
@@ -334,23 +415,23 @@ def scanner(model: Field, shapes: Shapes):
     return scan
 
 
+@shielded
 def secret_scan(docs: DataFrame, model: tuple[Field, Shapes], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all columns, the text too, if not given) with secrets: array of (kind, start, end) in code points, end exclusive.
 
     A null or empty text has none; repeated rows get the same; a column named secrets is replaced.
     """
-    names = [c for c in (keep if keep is not None else docs.columns) if c != "secrets"]
-    base = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"))
+    base, names, body = carried(docs, text_col, keep if keep is not None else docs.columns, ("secrets",))
     kind = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(*model)
-        for b in batches:
-            found = [[{"kind": KINDS[k], "start": a, "end": z} for a, k, z in scan(t)] for t in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(found, arrow)], [*b.schema.names[:-1], "secrets"])
+        for b in sliced(batches, body):
+            found = [[{"kind": KINDS[k], "start": a, "end": z} for a, k, z in scan(t)] for t in b.column(body).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(found, arrow)], [*names, "secrets"])
 
-    return base.mapInArrow(run, T.StructType([f for f in base.schema.fields if f.name != "__text"]).add("secrets", kind))
+    return base.mapInArrow(run, T.StructType(fields_of(base, names)).add("secrets", kind))
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
@@ -374,13 +455,12 @@ def redacted(text: str, spans: list[Span], mark: str) -> str:
 
 def redact(docs: DataFrame, model: tuple[Field, Shapes], text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs with every secret of its text replaced by the mark; a null text stays null, and all other columns as they are."""
-    base = docs.withColumn("__text", F.col(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(*model)
-        for b in batches:
-            texts = [t if t is None else redacted(t, scan(t), mark) for t in b.column("__text").to_pylist()]
+        for b in sliced(batches, text_col):
+            texts = [t if t is None else redacted(t, scan(t), mark) for t in b.column(text_col).to_pylist()]
             i = b.schema.names.index(text_col)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == i else b.column(k) for k in range(b.num_columns - 1)], b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == i else b.column(k) for k in range(b.num_columns)], b.schema.names)
 
-    return base.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
