@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import but_text, carried, fields_of, shielded, sliced, table, written
 
 _encoders: dict[str, tuple] = {}
 
@@ -30,8 +31,8 @@ def byte_encoder(name: str):
     """(fast encoder, library's tokenizer, special strings) of a byte-level BPE file.
 
     The fast encoder reads the file's own vocabulary; byte-level BPE merges by rank, and a token's id is its
-    rank there, so both give the same ids, which the tests hold it to. Texts with a special string, and files
-    whose ids are not ranks, go to the library.
+    rank there, so both give the same ids, which the tests hold it to. Texts with a special string or a run of
+    RUN characters of one kind go to the library.
     """
     if name not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,10 +56,16 @@ def byte_encoder(name: str):
     return _encoders[name]
 
 
+#: Longest run of one kind of character (white space, letters, digits, others) that goes to the fast encoder,
+#: whose pattern backtracks over such a run and has a bounded stack.
+RUN = 10_000
+_LONG_RUN = re.compile(rf"\s{{{RUN}}}|\w{{{RUN}}}|[^\s\w]{{{RUN}}}")
+
+
 def ids_of(text: str | None, name: str, end: int) -> np.ndarray:
     fast, library, special = byte_encoder(name)
     text = text or ""
-    if any(s in text for s in special):
+    if any(s in text for s in special) or (len(text) >= RUN and _LONG_RUN.search(text)):
         ids = np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
     else:
         ids = np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
@@ -133,11 +140,11 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return runs, sequences
 
 
-def _pieces(name: str, end: int, capacity: int, with_ids: bool, width: int):
+def _pieces(name: str, end: int, capacity: int, with_ids: bool, width: int, body: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, body):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for r, text in enumerate(b.column(width).to_pylist()):
+            for r, text in enumerate(b.column(body).to_pylist()):
                 own = ids_of(text, name, end).astype("<u4")
                 for k, (s, n) in enumerate(cut(len(own), capacity)):
                     data = own[s : s + n].tobytes()
@@ -177,6 +184,7 @@ def _places(runs: list[tuple[int, int, int, int, int]]):
     return run
 
 
+@shielded
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 1024, end: int = 2, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False, buckets: int = 512, bucket_rows: int = 4_096) -> DataFrame:
     """A row for each piece: the columns ``keep`` (all but the text if not given), piece, start, length, ids_crc32, sequence_id, offset, and ids (little-endian unsigned 32-bit) if asked for.
 
@@ -185,13 +193,12 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
     ranks of a length are counted in up to ``buckets`` buckets, so that no task ranks a hot length alone.
     """
     new = [*PIECE.names, "sequence_id", "offset"]
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in (*new, text_col)]
-    base = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"))
+    base, names, body = carried(docs, text_col, but_text(docs, text_col, keep), tuple(new))
     fields = PIECE.fields if with_ids else PIECE.fields[:-1]
-    schema = T.StructType(base.schema.fields[:-1] + fields)
-    pieces = written(base.mapInArrow(_pieces(tokenizer, end, capacity, with_ids, len(names)), schema), "pack-pieces")
+    schema = T.StructType(fields_of(base, names) + fields)
+    pieces = written(base.mapInArrow(_pieces(tokenizer, end, capacity, with_ids, len(names), body), schema), "pack-pieces")
 
-    simple = [f.name for f in base.schema.fields[:-1] if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    simple = [f.name for f in fields_of(base, names) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     total = pieces.count()
     n = max(1, min(buckets, total // bucket_rows))
     by = [F.xxhash64(*(F.col(f"`{c}`") for c in simple), "piece", "ids_crc32"), F.col("piece"), F.col("ids_crc32")]
