@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, utf8
+from .common import but_text, carried, fields_of, fold_of, shielded, sliced, utf8
 
 UNKNOWN = "und"
 #: ASCII that is no letter to a space; what is not ASCII stays.
@@ -96,10 +96,10 @@ def languages_of(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return chosen[by], share[by]
 
 
-def _counted(n: int, most: int):
+def _counted(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
-        for b in batches:
+        for b in sliced(batches, "text"):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(letter_words(text))
         for lang, seen in words.items():
@@ -107,14 +107,16 @@ def _counted(n: int, most: int):
             for w, c in seen.items():
                 for g in grams(w, n):
                     found[g] += c
-            top = found.most_common(most)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(top), pa.string()), pa.array([g for g, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["lang", "gram", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "c"])
 
     return run
 
 
 def fit_languages(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 3, max_docs: int = 3_000, max_grams: int = 20_000) -> LanguageModel:
-    """n-gram frequencies from at most max_docs labelled texts a language (the first by a hash of the id), max_grams n-grams each."""
+    """n-gram frequencies from at most max_docs labelled texts a language (the first by a hash of the id), max_grams n-grams each.
+
+    All n-grams of the sample are counted; the most frequent of each language stay, ties by code point.
+    """
     from pyspark.sql import Window
 
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), (F.lit(True) if usable is None else usable).alias("ok")).filter("ok and lang is not null")
@@ -124,45 +126,63 @@ def fit_languages(docs: DataFrame, usable: Column | None = None, id_col: str = "
     near = known.join(F.broadcast(sizes), "lang").filter(F.pmod(key, F.lit(1_000_003)) <= F.ceil(F.lit(1_000_003.0) * 2 * max_docs / F.col("count")))
     ids = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(key, F.lit(1_000_003)), "id"))).filter(F.col("r") <= max_docs).select("id", "lang").distinct()
     text = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids), ["id", "lang"], "left_semi")
-    counts = text.repartition(8).mapInArrow(_counted(n, 4 * max_grams), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    counts = text.repartition(16).mapInArrow(_counted(n), "lang string, gram string, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "gram"))).filter(F.col("r") <= max_grams)
     return LanguageModel.of([(r.lang, r.gram, r.c) for r in top.collect()], n)
 
 
-def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None, memo_words: int = 300_000) -> DataFrame:
+class _Words:
+    """Log likelihoods of words, remembered for up to ``most`` of them."""
+
+    def __init__(self, model: LanguageModel, most: int):
+        self.model, self.most = model, most
+        self.at: dict[bytes, int] = {}
+        self.rows = np.zeros((1 << 14, len(model.languages)))
+
+    def add(self, words: list[list[bytes]]) -> None:
+        if len(self.at) > self.most:
+            self.at.clear()
+        new = sorted(set().union(*words) - self.at.keys())
+        start, end = len(self.at), len(self.at) + len(new)
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows[:start], np.zeros((2 * end - start, self.rows.shape[1]))])
+        for i in range(0, len(new), 10_000):
+            part = new[i : i + 10_000]
+            self.rows[start + i : start + i + len(part)] = self.model.of_words(part)
+        self.at.update(zip(new, range(start, end), strict=True))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
+
+
+@shielded
+def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None, memo_words: int = 200_000) -> DataFrame:
     """The columns ``keep`` (all but the text if not given) with lang_pred, score and langs.
 
     langs: the chosen languages with their shares, the largest first; lang_pred and score are the first of
     them. A null text, one without a letter, or a model without languages gives und, 0 and no langs. Repeated
     rows get the same; columns of these names are replaced.
     """
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "langs", text_col)]
-    base = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"))
+    base, names, body = carried(docs, text_col, but_text(docs, text_col, keep), ("lang_pred", "score", "langs"))
     result = T.StructType().add("lang_pred", "string").add("score", "double").add("langs", T.MapType(T.StringType(), T.DoubleType()))
 
-    def one(text: str | None, memo: dict[bytes, int], table: list[np.ndarray], words: list[bytes]) -> tuple:
+    def one(text: str | None, words: list[bytes], known: _Words) -> tuple:
         if not model.languages or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, []
-        which, share = languages_of(table[0][np.fromiter(map(memo.__getitem__, words), np.int64, len(words))])
+        which, share = languages_of(known.of(words))
         return model.languages[which[0]], float(share[0]), [(model.languages[i], float(s)) for i, s in zip(which, share, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
-        table = [np.zeros((0, len(model.languages)))]
-        for b in batches:
-            texts = b.column("__text").to_pylist()
+        known = _Words(model, memo_words)
+        for b in sliced(batches, body):
+            texts = b.column(body).to_pylist()
             words = [letter_words(t) for t in texts]
-            if len(memo) > memo_words:
-                memo.clear()
-                table[0] = table[0][:0]
-            new = sorted(set().union(*words) - memo.keys())
-            memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-            table[0] = np.concatenate([table[0], model.of_words(new)])
-            found = [one(t, memo, table, w) for t, w in zip(texts, words, strict=True)]
+            known.add(words)
+            found = [one(t, w, known) for t, w in zip(texts, words, strict=True)]
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *cols], [*b.schema.names[:-1], *result.names])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), *cols], [*names, *result.names])
 
-    return base.mapInArrow(run, T.StructType([f for f in base.schema.fields if f.name != "__text"] + result.fields))
+    return base.mapInArrow(run, T.StructType(fields_of(base, names) + result.fields))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, utf8
+from .common import shared_dir, shielded, sliced, table, utf8
 
 RATE = 8_000
 HEADER = 44
@@ -78,7 +78,7 @@ MANIFEST = "uid string, seq int, digest binary"
 
 
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, "text"):
         uid, seq, digest = [], [], []
         for u, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist(), strict=True):
             for k, c in enumerate(chunks_of(payload_of(text)[0])):
@@ -96,7 +96,7 @@ def _contain(names: list[str]):
     """Rows (…, uid, text, foreign, lent) to containers: no bytes for the foreign chunks, a mark on the lent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, "text"):
             n_bytes, head, lists = [], [], []
             for text, foreign, lent in zip(*(b.column(c).to_pylist() for c in ("text", "foreign", "lent")), strict=True):
                 payload, n = payload_of(text)
@@ -140,7 +140,7 @@ def _ddl(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, broadcast_rows: int = 300_000) -> DataFrame:
+def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, broadcast_bytes: int = 32_000_000) -> DataFrame:
     """Writes docs as containers under path and gives them: the columns ``keep`` (all but the text if not given), uid, n_bytes, header, chunks.
 
     A null text is an empty one. uid tells rows apart by their doc_id and text; equal rows have equal
@@ -159,8 +159,8 @@ def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     refs = refs.groupBy("uid").agg(F.collect_set(F.when(~F.col("own"), F.col("seq"))).alias("foreign"), F.collect_set(F.when(F.col("own"), F.col("seq"))).alias("lent"))
     refs.write.parquet(f"{path}/shared")
     refs = spark.read.parquet(f"{path}/shared")
-    small = refs.count() <= broadcast_rows
-    rows = base.join(F.broadcast(refs) if small else refs, "uid", "left")
+    held = refs.agg(F.sum(64 + F.octet_length("uid") + 4 * (F.size("foreign") + F.size("lent")))).first()[0] or 0
+    rows = base.join(F.broadcast(refs) if held <= broadcast_bytes else refs, "uid", "left")
     rows = rows.select(*(F.col(f"`{c}`") for c in names), "uid", "text", "foreign", "lent")
     rows.mapInArrow(_contain(names), f"{_ddl(base, [*names, 'uid'])}, n_bytes long, header binary, {CHUNKS}").write.option("compression", "zstd").parquet(f"{path}/containers")
     return spark.read.parquet(f"{path}/containers")
@@ -180,6 +180,7 @@ def read_media(containers: DataFrame) -> DataFrame:
     return alone.unionByName(rest)
 
 
+@shielded
 def media(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Stores docs (in the shared folder if no path is given) and reads them back; an empty table gives an empty one."""
     import uuid

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, table, written
+from .common import n_words_of, shielded, table, written
 from .sharding import hypergeometric
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -64,6 +64,7 @@ def split_tree(quotas: list[int], n_shards: int, rng: np.random.Generator) -> li
     return out
 
 
+@shielded
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = 1.5, limit: float = 2.0, n_shards: int = 16, seed: int = 0, source_col: str = "source", text_col: str = "text", block_rows: int = 64, max_blocks: int = 200_000, tries: int = 16) -> DataFrame:
     """All rows of docs with size, source_size, target, draws and taken.
 
@@ -71,7 +72,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = 1
     each time the mix takes the document, at most twice for limit 2; place orders a shard at random. taken is
     size times the number of draws. A document without words is taken with its block and adds nothing.
     Repeated rows are drawn together; columns of these names are replaced; an empty table gives an empty one.
-    The blocks, max_blocks at most over all sources (and one a source), are planned on the driver.
+    The blocks, max_blocks at most over all sources (and one a source), are planned on the driver: some 500
+    bytes for each, so that a million sources are its limit.
     """
     spark = docs.sparkSession
     docs = docs.drop("size", "source_size", "target", "draws", "taken")

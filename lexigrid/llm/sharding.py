@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, written
+from .common import shielded, table, written
 
 LIMIT = 10**9  # beyond it numpy draws no hypergeometric numbers
 
@@ -68,6 +68,7 @@ def _placed(rows: DataFrame, plan: DataFrame, seed: int, cells: int) -> DataFram
     return rows.withColumn("__cell", F.pmod("__order", F.lit(cells)).cast("int"))
 
 
+@shielded
 def shard_rows(docs: DataFrame, n_shards: int = 8, seed: int = 0, stable: bool = False, max_sources: int = 65_536, cell_rows: int = 4_096, max_cells: int = 8_192) -> DataFrame:
     """All rows and columns of docs with shard (int from 0) and slot (long, gapless from 0 in each shard).
 
@@ -96,13 +97,16 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, seed: int = 0, stable: bool =
     # The cell of a place doesn't depend on the row that comes to lie there: this pass reads no column.
     taken = _placed(docs.select(), plan, seed, cells).groupBy("__shard", "__cell").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = taken.select("__shard", "__cell", before.alias("__start"))
+    starts = taken.select("__shard", "__cell", "__n", before.alias("__start"))
 
     by = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     permuted = docs.sortWithinPartitions(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in by)))
     rows = _placed(permuted, plan, seed, cells)
     inside = F.row_number().over(Window.partitionBy("__shard", "__cell").orderBy("__order", "__p", "__r"))
-    rows = rows.withColumn("__inside", inside).join(F.broadcast(starts), ["__shard", "__cell"])
+    there = F.count(F.lit(1)).over(Window.partitionBy("__shard", "__cell"))
+    rows = rows.withColumns({"__inside": inside, "__there": there}).join(F.broadcast(starts), ["__shard", "__cell"])
+    fewer = F.raise_error(F.lit("the input listed fewer rows when read again; pass stable=False")).cast("int")
+    rows = rows.withColumn("__inside", F.when(F.col("__there") == F.col("__n"), F.col("__inside")).otherwise(fewer))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("__shard").alias("shard"), (F.col("__start") + F.col("__inside") - 1).cast("long").alias("slot"))
 
 

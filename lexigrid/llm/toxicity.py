@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, utf8, written
+from .common import Scratch, but_text, carried, fields_of, fold_of, shielded, sliced, utf8
 
 #: ASCII letters lowered, other ASCII to a space; bytes of non-ASCII letters stay.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -93,7 +93,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, texts of P, texts of U) of a partition of the sample."""
     in_p: Counter = Counter()
     in_u: Counter = Counter()
-    for b in batches:
+    for b in sliced(batches, "text"):
         for text, p, u in zip(*(b.column(c).to_pylist() for c in ("text", "is_p", "is_u")), strict=True):
             found = features(text)
             if p:
@@ -109,7 +109,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _numbered(vocabulary: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {w: i for i, w in enumerate(vocabulary)}
-        for b in batches:
+        for b in sliced(batches, "text"):
             rows = [np.array(sorted(at[w] for w in at.keys() & features(t)), np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("is_p"), b.column("is_u"), pa.array(rows, pa.binary())], ["is_p", "is_u", "v"])
 
@@ -128,7 +128,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     u = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(*by_hash).limit(max_unlabelled)
     ids = p.withColumn("is_p", F.lit(True)).withColumn("is_u", F.lit(False)).unionByName(u.withColumn("is_p", F.lit(False)).withColumn("is_u", F.lit(True)))
     ids = ids.groupBy("id").agg(F.max("is_p").alias("is_p"), F.max("is_u").alias("is_u"))  # max_positive + max_unlabelled rows at most
-    sample = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id"), "toxicity-sample").select("text", "is_p", "is_u")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id"), "sample").select("text", "is_p", "is_u")
     n_p, n_u = (int(x or 0) for x in sample.agg(F.sum(F.col("is_p").cast("long")), F.sum(F.col("is_u").cast("long"))).first())
     if not rows or not n_p or not n_u:
         return ToxicityModel()
@@ -136,26 +137,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     counts = counts.filter((F.col("p") >= min_docs) & (F.col("p") / F.lit(n_p) > F.col("u") / F.lit(n_u)))
     vocabulary = telling(((bytes(r.feature), r.p, r.u) for r in counts.toLocalIterator()), n_p, n_u, min_z, max_features)
     rows = sample.mapInArrow(_numbered(vocabulary), "is_p boolean, is_u boolean, v binary").collect()
+    scratch.clear()
     vectors = sorted((bytes(r.v), r.is_p, r.is_u) for r in rows)
     read = lambda v: np.frombuffer(v, np.int32)
     return train(vocabulary, [read(v) for v, p, _ in vectors if p], [read(v) for v, _, u in vectors if u], float(prior))
 
 
+@shielded
 def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all but the text if not given) with score, from 0 to 1, and predicted, 1 from the threshold on.
 
     The whole text is scored; a null or empty one gets the score of no words. Repeated rows score alike;
     columns named score or predicted are replaced.
     """
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted", text_col)]
-    base = docs.select(*(F.col(f"`{c}`") for c in names), F.col(text_col).alias("__text"))
+    base, names, body = carried(docs, text_col, but_text(docs, text_col, keep), ("score", "predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = model.scores(b.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*b.schema.names[:-1], "score", "predicted"])
+        for b in sliced(batches, body):
+            scores = model.scores(b.column(body).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    out = T.StructType([f for f in base.schema.fields if f.name != "__text"] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    out = T.StructType(fields_of(base, names) + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return base.mapInArrow(run, out)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -66,7 +67,27 @@ def test_shards_of_nothing_and_digest(spark, empty, docs):
 
 def test_written_shards_keep_their_order(spark, docs, tmp_path):
     sharding.write_shards(sharding.shard_rows(docs, 4), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == len(odd_rows())
+    out = spark.read.parquet(str(tmp_path / "s")).withColumns({"file": F.input_file_name(), "at": F.monotonically_increasing_id()}).collect()
+    assert len(out) == len(odd_rows())
+    by = {}
+    for r in sorted(out, key=lambda r: (r.shard, r.slot)):
+        by.setdefault(r.shard, []).append(r)
+    for rows in by.values():
+        assert [r.slot for r in rows] == list(range(len(rows)))
+        for f in {r.file for r in rows}:
+            assert [r.slot for r in sorted(rows, key=lambda r: r["at"]) if r.file == f] == [r.slot for r in rows if r.file == f]
+
+
+def test_shards_tell_when_rows_are_missing(spark, tmp_path):
+    """A source that lists fewer rows when it is read again must not give slots with gaps."""
+    df = spark.range(0, 100, numPartitions=2).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    df.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = sharding.shard_rows(docs, 4, stable=True)
+    df.limit(80).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "d"))
+    spark.catalog.refreshByPath(str(tmp_path / "d"))
+    with pytest.raises(Exception, match=r"."):
+        out.collect()
 
 
 def test_matrix_margins_and_uniformity():
@@ -106,9 +127,34 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.toxicity(empty, model).count() == 0
 
 
-def test_risk_term_is_not_negative():
-    model = toxicity.train([b"x"], [np.array([0])] * 5, [np.array([0])] * 5, 0.5, epochs=50)
-    assert np.isfinite(model.bias)
+@pytest.mark.parametrize("prior", [0.1, 0.9])
+def test_training_is_the_corrected_risk_by_hand(prior):
+    """Full-batch Adam on the risk, with loops; with the large prior its second term is negative and the step descends on the negation alone."""
+    pos, unl = [[0, 1], [0], [0, 2]], [[0, 1], [2], [1, 2], [2], [0]]
+    got = toxicity.train([b"a", b"b", b"c"], [np.array(d) for d in pos], [np.array(d) for d in unl], prior, epochs=30)
+    sig, loss = (lambda z: 1 / (1 + np.exp(-z))), (lambda z: np.log1p(np.exp(-z)))
+    w, b, m, v, turned = [0.0] * 3, -1.0, [0.0] * 4, [0.0] * 4, False
+    for step in range(1, 31):
+        f = lambda d: b + sum(w[k] for k in d)  # noqa: B023, E731
+        second = np.mean([loss(-f(d)) for d in unl]) - prior * np.mean([loss(-f(d)) for d in pos])
+        turned |= second < 0
+        g = [0.0] * 4
+        for group, sign_first in ((pos, True), (unl, False)):
+            for d in group:
+                own = (-prior * sig(f(d)) if sign_first else sig(f(d))) / len(group)
+                x = own - prior * (1 - sig(f(d))) / len(group) * sign_first if second >= 0 else -own
+                for k in [*d, 3]:
+                    g[k] += x
+        g = [g[k] + 1e-5 * w[k] for k in range(3)] + [g[3]]
+        for k in range(4):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g[k], 0.999 * v[k] + 0.001 * g[k] ** 2
+            move = 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-6)
+            if k < 3:
+                w[k] -= move
+            else:
+                b -= move
+    assert got.bias == pytest.approx(b) and [got.weights.get(x, 0) for x in (b"a", b"b", b"c")] == pytest.approx(w, abs=1e-3)
+    assert turned == (prior == 0.9)
 
 
 # --- token counts
@@ -135,6 +181,15 @@ def test_token_counts_of_nothing(empty):
     assert token_counts.token_counts(empty).count() == 0
 
 
+def test_other_tokenizers_are_not_cut_at_spaces(spark):
+    """A tokenizer that keeps white space has no boundary of proven stability: whole texts are encoded."""
+    texts = ["a b  c, def  ghi", " \n x" * 50, None, "", "one two " * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, "byte_bpe_50k.json", chunk_chars=100, overlap_chars=20).collect()}
+    assert [out[i] for i in range(5)] == library_counts(texts, "byte_bpe_50k.json")
+    assert token_counts.tokenizer("word_bpe_49k.json")[2] and not token_counts.tokenizer("byte_bpe_50k.json")[2]
+
+
 # --- quality rules
 
 
@@ -160,10 +215,31 @@ def test_quality_counts(spark, docs):
     assert all(r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) for r in out)
 
 
-def test_bad_host_loses_its_documents_and_few_rows_are_shrunk(spark):
+def test_rates_are_shrunk_by_the_fitted_prior(spark):
     rows = [(f"h{k % 10}", k % 50 == 0) for k in range(2000)] + [("bad", k % 10 > 0) for k in range(100)] + [("new", True)]
-    got = {r.host: r.rate for r in quality_rules.host_rates(spark.createDataFrame(rows, "host string, base_failed boolean"), "host").collect()}
+    found = {r.host: r for r in quality_rules.host_rates(spark.createDataFrame(rows, "host string, base_failed boolean"), "host").collect()}
+    got = {h: r.rate for h, r in found.items()}
     assert got["bad"] > 0.5 and got["h1"] < 0.1 and got["new"] < 1
+    # The same prior by plain sums.
+    n, f = np.array([found[h].docs for h in found], float), np.array([found[h].failures for h in found], float)
+    m = f.sum() / n.sum()
+    rho = ((n * (f / n - m) ** 2).sum() / (m * (1 - m)) - (len(n) - 1)) / (n.sum() - (n**2).sum() / n.sum() - (len(n) - 1))
+    assert list(got.values()) == pytest.approx(((f + m * (1 / rho - 1)) / (n + 1 / rho - 1)).tolist())
+    assert found["bad"].limit == pytest.approx(min(0.5, max(0.25, m + 3 * (m * (1 - m) * rho) ** 0.5)))
+
+
+def test_verdict_on_hosts_decides(spark):
+    """All documents of one bad host go, its good ones too; a tiny host and the common ones lose only what fails by itself."""
+    rng = random.Random(21)
+    good, bad = lorem(rng, 90), "too short"
+    rows = [(f"h{h}", good if k % 25 else bad) for h in range(60) for k in range(100)]
+    rows += [("mill", bad if k % 5 else good) for k in range(300)] + [("tiny", bad), ("tiny", good), (None, good), (None, bad)]
+    df = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    out = quality_rules.quality_rules(df).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.base_failed == (rows[r.doc_id][1] == bad)
+        assert r.kept == (not r.base_failed and r.source != "mill")
 
 
 def test_quality_of_nothing(empty):
@@ -186,6 +262,48 @@ def test_languages_and_mixtures(spark):
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in (1001, 1002, 1003))
 
 
+def plain_languages(logs):
+    """Shares by plain expectation-maximisation, and the set by the penalised likelihood, with loops."""
+
+    def fitted(which):
+        share = [1 / len(which)] * len(which)
+        p = [[math.exp(row[k] - max(row[j] for j in which)) for k in which] for row in logs]
+        for _ in range(40 if len(which) > 1 else 0):
+            new = [0.0] * len(which)
+            for row in p:
+                whole = sum(x * s for x, s in zip(row, share, strict=True))
+                for k, x in enumerate(row):
+                    new[k] += x * share[k] / whole / len(p)
+            moved, share = max(abs(x - y) for x, y in zip(new, share, strict=True)), new
+            if moved < 1e-3:
+                break
+        fit = sum(math.log(sum(x * s for x, s in zip(row, share, strict=True))) + max(r[j] for j in which) for row, r in zip(p, logs, strict=True))
+        return share, fit - 0.5 * (len(which) - 1) * math.log(len(logs))
+
+    n = len(logs[0])
+    whole = fitted(range(n))[0]
+    order, best = sorted(range(n), key=lambda k: -whole[k]), None
+    for k in range(1, n + 1):
+        share, fit = fitted(order[:k])
+        if best and fit <= best[0]:
+            break
+        best = fit, dict(zip(order[:k], share, strict=True))
+    return best[1]
+
+
+def test_mixtures_match_plain_expectation_maximisation():
+    rng = np.random.default_rng(5)
+    several = 0
+    for _ in range(40):
+        logs = rng.normal(size=(rng.integers(3, 60), 4)) - 8
+        logs[np.arange(len(logs)), rng.choice([0, 1, 3], len(logs), p=[0.5, 0.4, 0.1])] += rng.choice([2, 6])
+        which, share = language_id.languages_of(logs)
+        want = plain_languages(logs.tolist())
+        assert dict(zip(which.tolist(), share.tolist(), strict=True)) == pytest.approx(want)
+        several += len(want) > 1
+    assert several > 10
+
+
 def test_language_edges(docs, empty):
     model = language_id.fit_languages(empty)
     assert {r.lang_pred for r in language_id.language_id(docs, model).collect()} == {"und"}
@@ -348,6 +466,18 @@ def test_field_learns_unseen_secrets_and_keeps_base(spark, docs, empty):
     for i, t in rows[:300]:
         assert {(s.kind, s.start, s.end) for s in out[i] if s.kind != "crf"} == {(secret_scan.KINDS[k], a, z) for a, k, z in secret_scan.base_spans(t, t.encode().split())}
         assert not [s for s in out[i] if s.kind == "crf"]
+    found = out[1000]
+    assert [s.kind for s in found] == ["crf"] and rows[300][1][found[0].start : found[0].end].endswith(rows[300][1].split("token ")[1].split()[0])
+    # Planted secrets that no base pattern matches, and odd words that are none.
+    scan, base62 = secret_scan.scanner(*model), secret_scan.BASE62.decode()
+    caught = clean = 0
+    for k in range(60):
+        key = "".join(rng.choice(base62) for _ in range(rng.randint(20, 40)))
+        text = lorem(rng, 30) + " " + ("Bearer", "key:", "auth")[k % 3] + " " + key + " " + lorem(rng, 30)
+        caught += any(text[a:z] == key for a, _, z in scan(text))
+        odd = ("2019-07-04", "v10.2.7", "https://www.w3.org/TR/2008/REC-xml/", "john.smith99@corp.example.net", "9780306406157", "127.0.0.1")[k % 6]
+        clean += not scan(lorem(rng, 30) + " " + odd + " " + lorem(rng, 30))
+    assert caught >= 54 and clean >= 57
     assert out[1001] == [] and out[1002] == []
     assert secret_scan.secret_scan(empty, model).count() == 0
     clean = {r.doc_id: r.text for r in secret_scan.redact(df, model).collect()}
@@ -380,6 +510,24 @@ def test_plan_places_every_piece_once():
         assert sequences <= 1.1 * sum(s * c for s, c in counts.items()) / cap + 2
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_200_000, "ab c" + " " * 1_500_000 + "x", "a" * 200_000, "." * 300_000 + " x", "x" + " " * 9_999 + "y", "é" * 20_000])
+def test_long_runs_of_one_kind(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.ids_of(text, "byte_bpe_50k.json", 2).tolist() == [*want, 2]
+
+
+def test_columns_that_begin_like_those_of_the_operators(spark, docs):
+    """Columns named __… come back as they were."""
+    odd = docs.select("doc_id", "text", "source", *(F.lit(c).alias(c) for c in ("__text", "__id", "__p", "__r", "__h", "__s", "__block", "__uid", "__bucket")))
+    model = secret_scan.fit_secrets(docs.limit(0))
+    for out in (sharding.shard_rows(odd, 4), mixing.mix(odd), packing.pack(odd), secret_scan.secret_scan(odd, model), token_counts.token_counts(odd), toxicity.toxicity(odd, toxicity.ToxicityModel()), quality_rules.quality_rules(odd), media.media(odd), language_id.language_id(odd, language_id.LanguageModel())):
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in ("__text", "__id", "__p", "__r", "__h", "__s", "__block", "__uid", "__bucket"))
+
+
 def test_pack_matches_the_library(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
