@@ -89,11 +89,19 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
     give_back()
 
 
+def text_batches(spark: SparkSession, rows: int = 1_024) -> None:
+    """Fewer rows to an Arrow batch where the session has more: a batch of whole texts is held by the JVM and by Python at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def carried(docs: DataFrame, text_col: str, keep: list[str], replaced: tuple[str, ...]) -> tuple[DataFrame, list[str], str]:
     """(frame for an operator in Arrow batches, names of the columns it gives on, name of its text column).
 
     The text is there once: in its own place where it is kept, else last as __text.
     """
+    text_batches(docs.sparkSession)
     names = [c for c in keep if c not in replaced]
     cols = [F.col(f"`{c}`") for c in names]
     return (docs.select(*cols), names, text_col) if text_col in names else (docs.select(*cols, F.col(f"`{text_col}`").alias("__text")), names, "__text")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import but_text, carried, fields_of, fold_of, shielded, sliced, utf8
+from .common import but_text, carried, fields_of, fold_of, shielded, sliced, text_batches, utf8
 
 UNKNOWN = "und"
 #: ASCII that is no letter to a space; what is not ASCII stays.
@@ -119,6 +119,7 @@ def fit_languages(docs: DataFrame, usable: Column | None = None, id_col: str = "
     """
     from pyspark.sql import Window
 
+    text_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), (F.lit(True) if usable is None else usable).alias("ok")).filter("ok and lang is not null")
     key = F.xxhash64("id")
     # A first cut by the hash, from the count of each language, keeps the window small whatever the input.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shielded, sliced, table, utf8
+from .common import shared_dir, shielded, sliced, table, text_batches, utf8
 
 RATE = 8_000
 HEADER = 44
@@ -147,6 +147,7 @@ def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     containers. Columns of these names are replaced.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("uid", "header", "chunks", text_col, *RESULT)]
     ident = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit("")
     uid = F.concat_ws(":", F.coalesce(ident, F.lit("null")), F.hex(F.xxhash64(text_col)), F.coalesce(F.octet_length(text_col), F.lit(-1)))

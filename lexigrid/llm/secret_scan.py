@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, carried, fields_of, shielded, sliced, table, utf8
+from .common import Scratch, carried, fields_of, shielded, sliced, table, text_batches, utf8
 
 # The base patterns, their kinds in order, and the least length of what must be long enough.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -359,6 +359,7 @@ def further_forms(words: list[bytes], tags: list[int], file: int, length: int, r
 
 def fit_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_texts: int = 6_000, max_windows: int = 1_500, length: int = 12) -> tuple[Field, Shapes]:
     """Trains on windows of at most max_texts texts (the first by a hash of the id): up to max_windows with base spans, as many without, and further forms of each."""
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = rows.select("id").filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_texts)
     sample = rows.join(F.broadcast(ids), "id").select("text")
@@ -455,6 +456,7 @@ def redacted(text: str, spans: list[Span], mark: str) -> str:
 
 def redact(docs: DataFrame, model: tuple[Field, Shapes], text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """docs with every secret of its text replaced by the mark; a null text stays null, and all other columns as they are."""
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(*model)

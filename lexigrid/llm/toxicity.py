@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, but_text, carried, fields_of, fold_of, shielded, sliced, utf8
+from .common import Scratch, but_text, carried, fields_of, fold_of, shielded, sliced, text_batches, utf8
 
 #: ASCII letters lowered, other ASCII to a space; bytes of non-ASCII letters stay.
 LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -121,6 +121,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
 
     ``usable``: which rows of labels may be read. The class prior is the share of toxic ones among them.
     """
+    text_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic"), (F.lit(True) if usable is None else usable).alias("ok")).filter("ok and toxic is not null and id is not null")
     prior, rows = known.agg(F.avg((F.col("toxic") == 1).cast("double")), F.count(F.lit(1))).first()
     by_hash = [F.xxhash64("id"), F.col("id")]
