@@ -131,3 +131,9 @@ def theme_of(*terms: Column) -> Column:
     """Terms joined by spaces; NA where all are missing."""
     joined = F.concat_ws(" ", *terms)
     return F.when(joined == "", "NA").otherwise(joined)
+
+
+def replace_first(text: Column, old: str, new: str) -> Column:
+    """The first occurrence of a literal replaced; the text itself where there is none."""
+    at = F.instr(text, old)
+    return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), F.lit(new), F.substring(text, at + len(old), F.length(text)))).otherwise(text)

@@ -21,6 +21,3 @@ def tokens(source: str = "documents", key: str = "doc_id", text: str = "text") -
 
 def values(words: list[str]) -> str:
     return "(VALUES " + ", ".join(f"('{w}')" for w in words) + ")"
-
-
-BLOCK = "lang || ':' || length(bin(n_chars))"

@@ -37,9 +37,8 @@ def scores(items: DataFrame, dtm: DataFrame, kind: str = "vsm", k: int = 40, all
     rows = dtm.select("doc", F.explode(F.array_repeat("term", F.col("n").cast("int"))).alias("term"))
     v, _ = topics.vectors(rows)
     gamma = topics.doc_topics(topics.fit_lda(v, k), v)
-    out = similarity.jsd(gamma.select("id", F.col("topic").alias("key"), F.col("gamma").alias("p")))
-    inside = similarity.pairs(items)
-    return out.join(inside, ["id_a", "id_b"]).select("id_a", "id_b", F.col("distance").alias("jsd_value"))
+    out = similarity.jsd(gamma.select("id", F.col("topic").alias("key"), F.col("gamma").alias("p")), items.select("id", "block"))
+    return out.select("id_a", "id_b", F.col("distance").alias("jsd_value"))
 
 
 def feature_table(scored: DataFrame, edges: DataFrame, items: DataFrame, same: Sequence[str]) -> DataFrame:

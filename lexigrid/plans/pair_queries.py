@@ -8,44 +8,37 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import evaluate as ev
 from ..operators import features, models, report, similarity, terms, topics
-from ..sources.bank import block_of, items, read_table
-from .fragments import BLOCK, tokens
+from ..sources.bank import items, read_table
+from .fragments import tokens
 from .registry import query
 from .text_queries import KEPT, docs, kept_counts, stops
 
 FEATURES = ("cosine_value", "jaccard_value", "same_source", "same_lang", "avg_item_length")
 
 
-def _blocks(spark, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select(F.col("doc_id").alias("doc"), block_of().alias("block"))
-
-
-def _cosine(source: str = "kept", same: str = "JOIN b AS ba ON ba.doc = x.doc JOIN b AS bb ON bb.doc = y.doc AND ba.block = bb.block") -> str:
+def _cosine(source: str = "kept") -> str:
     return f"""SELECT x.doc AS id_a, y.doc AS id_b, sum(x.n * y.n)::DOUBLE / (any_value(nx.norm) * any_value(ny.norm)) AS cosine
-FROM {source} x JOIN {source} y ON x.term = y.term AND x.doc < y.doc {same} JOIN norms nx ON nx.doc = x.doc JOIN norms ny ON ny.doc = y.doc GROUP BY 1, 2"""
+FROM {source} x JOIN {source} y ON x.term = y.term AND x.doc < y.doc JOIN norms nx ON nx.doc = x.doc JOIN norms ny ON ny.doc = y.doc GROUP BY 1, 2"""
 
 
 NORMS = "norms AS (SELECT doc, sqrt(sum(n * n)::DOUBLE) AS norm FROM kept GROUP BY doc)"
-BLOCKS = f"b AS (SELECT doc_id AS doc, {BLOCK} AS block FROM documents)"
-
 
 def document_cosine(spark, sf_dir: str) -> DataFrame:
-    return similarity.vsm_cosine(kept_counts(spark, sf_dir), _blocks(spark, sf_dir))
+    return similarity.vsm_cosine(kept_counts(spark, sf_dir))
 
 
-@query(f"WITH {KEPT}, {NORMS}, {BLOCKS} SELECT id_a, id_b, round(cosine, 6) AS cosine FROM ({_cosine()})")
+@query(f"WITH {KEPT}, {NORMS} SELECT id_a, id_b, round(cosine, 6) AS cosine FROM ({_cosine()})")
 def vsm_cosine(spark, sf_dir):
     return document_cosine(spark, sf_dir).withColumn("cosine", F.round("cosine", 6))
 
 
-@query(f"""WITH kept AS (SELECT doc, term, count(*) AS n FROM ({tokens('benchmark', 'item_id')}) GROUP BY doc, term), {NORMS}, s AS ({_cosine(same='')})
+@query(f"""WITH kept AS (SELECT doc, term, count(*) AS n FROM ({tokens('benchmark', 'item_id')}) GROUP BY doc, term), {NORMS}, s AS ({_cosine()})
 SELECT a.item_id AS id_a, b.item_id AS id_b, round(coalesce(cosine, 0), 6) AS cosine FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id LEFT JOIN s ON id_a = a.item_id AND id_b = b.item_id""")
 def vsm_cosine_all_pairs(spark, sf_dir):
     b = read_table(spark, sf_dir, "benchmark")
     dtm = terms.counts(terms.doc_tokens(b, "item_id", t.clean_text(F.col("text"))))
-    one = b.select(F.col("item_id").alias("id"), F.lit("").alias("block"))
-    scores = similarity.vsm_cosine(dtm, one.withColumnRenamed("id", "doc"))
-    return similarity.with_all_pairs(scores, similarity.pairs(one), "cosine").withColumn("cosine", F.round("cosine", 6))
+    every = similarity.pairs(b.select(F.col("item_id").alias("id")), None)
+    return similarity.with_all_pairs(similarity.vsm_cosine(dtm), every, "cosine").withColumn("cosine", F.round("cosine", 6))
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v)
@@ -73,13 +66,15 @@ def jsd_distance(spark, sf_dir):
     return similarity.jsd(shares(spark, sf_dir)).select("id_a", "id_b", F.round("jsd", 6).alias("jsd"), F.round("distance", 4).alias("distance"))
 
 
-@query(f"""WITH sets AS (SELECT DISTINCT doc, term FROM ({tokens()})), n AS (SELECT doc, count(*) AS n FROM sets GROUP BY doc), {BLOCKS},
-i AS (SELECT x.doc AS a, y.doc AS b, count(*) AS o FROM sets x JOIN sets y ON x.term = y.term AND x.doc < y.doc JOIN b AS ba ON ba.doc = x.doc JOIN b AS bb ON bb.doc = y.doc AND ba.block = bb.block GROUP BY 1, 2)
-SELECT p.doc AS id_a, q.doc AS id_b, round(coalesce(o, 0) / nullif(coalesce(np.n, 0) + coalesce(nq.n, 0) - coalesce(o, 0), 0), 6) AS jaccard
-FROM b p JOIN b q ON p.block = q.block AND p.doc < q.doc LEFT JOIN n np ON np.doc = p.doc LEFT JOIN n nq ON nq.doc = q.doc LEFT JOIN i ON i.a = p.doc AND i.b = q.doc""")
+JACCARD = f"""sets AS (SELECT DISTINCT doc, term FROM ({tokens()})), sn AS (SELECT doc, count(*) AS n FROM sets GROUP BY doc),
+shared AS (SELECT x.doc AS a, y.doc AS b, count(*) AS o FROM sets x JOIN sets y ON x.term = y.term AND x.doc < y.doc GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {JACCARD} SELECT p.doc_id AS id_a, q.doc_id AS id_b, coalesce(o, 0) / nullif(coalesce(np.n, 0) + coalesce(nq.n, 0) - coalesce(o, 0), 0) AS jaccard
+FROM documents p JOIN documents q ON p.doc_id < q.doc_id LEFT JOIN sn np ON np.doc = p.doc_id LEFT JOIN sn nq ON nq.doc = q.doc_id LEFT JOIN shared i ON i.a = p.doc_id AND i.b = q.doc_id""")
 def keyword_jaccard(spark, sf_dir):
-    base = items(docs(spark, sf_dir)).select("id", "block", F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"))
-    return similarity.set_jaccard(base).withColumn("jaccard", F.round("jaccard", 6))
+    base = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"))
+    return similarity.set_jaccard(base)
 
 
 @query(f"""WITH d AS (SELECT DISTINCT doc, term FROM ({tokens()})), q AS (SELECT DISTINCT doc AS item, term FROM ({tokens('benchmark', 'item_id')})), n AS (SELECT item, count(*) AS n FROM q GROUP BY item)
@@ -92,20 +87,23 @@ def contamination_pairs(spark, sf_dir):
     return both.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "shared", F.round(F.col("shared") / F.col("n"), 6).alias("contained"))
 
 
-def enemies(spark, sf_dir: str) -> DataFrame:
-    """(id, enemy): documents of one text, a stand-in for listed enemies: each is listed by the first of its group."""
-    d = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("h"))
-    first = d.groupBy("h").agg(F.min("doc_id").alias("enemy"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return d.join(first, "h").filter("doc_id <> enemy").select(F.col("doc_id").alias("id"), "enemy")
+def same_texts(spark, sf_dir: str) -> DataFrame:
+    """(id, group): documents of one text are each other's enemies, a stand-in for listed enemies."""
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("group"))
 
 
-LABELS = """edges AS (SELECT doc_id AS id, first AS enemy FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) WHERE doc_id <> first),
-labels_ab AS (SELECT DISTINCT least(id, enemy) AS id_a, greatest(id, enemy) AS id_b FROM edges)"""
+@query("SELECT x.doc_id AS id_a, y.doc_id AS id_b, coalesce(x.text = y.text, false)::INT AS enemy_yes FROM documents x JOIN documents y ON x.doc_id < y.doc_id")
+def pair_labels(spark, sf_dir):
+    return features.label_by_group(similarity.pairs(items(docs(spark, sf_dir)), None), same_texts(spark, sf_dir))
 
 
-@query(f"WITH {BLOCKS}, {LABELS}, p AS (SELECT x.doc AS id_a, y.doc AS id_b FROM b x JOIN b y ON x.block = y.block AND x.doc < y.doc) SELECT p.id_a, p.id_b, (l.id_a IS NOT NULL)::INT AS enemy_yes FROM p LEFT JOIN labels_ab l ON l.id_a = p.id_a AND l.id_b = p.id_b")
-def pair_labels(spark, sf_dir):
-    return features.label_pairs(similarity.pairs(items(docs(spark, sf_dir))), enemies(spark, sf_dir))
+@query("SELECT id_a, id_b, (x.doc_id IS NOT NULL)::INT AS enemy_yes FROM (SELECT least(doc_id, item_id) AS id_a, greatest(doc_id, item_id) AS id_b FROM documents, benchmark WHERE doc_id <> item_id GROUP BY 1, 2) LEFT JOIN documents x ON x.doc_id = id_a AND id_b = id_a + 1")
+def listed_labels(spark, sf_dir):
+    """Labels from a list of enemies: each document lists the next id; over the pairs of a document and a benchmark item's id."""
+    ids = docs(spark, sf_dir).select(F.col("doc_id").alias("id"))
+    other = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("other"))
+    pairs = ids.join(F.broadcast(other), F.col("id") != F.col("other")).select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+    return features.label_pairs(pairs, ids.select("id", (F.col("id") + 1).alias("enemy")))
 
 
 @query("""SELECT a.n_nationkey AS id_a, b.n_nationkey AS id_b, contains(((a.n_nationkey * 7 + 1) % 25) || ', ' || (a.n_nationkey + 100), b.n_nationkey::VARCHAR)::INT AS enemy_yes
@@ -117,11 +115,11 @@ def substring_labels(spark, sf_dir):
 
 
 def document_features(spark, sf_dir: str) -> DataFrame:
-    """The labelled feature table of all blocked pairs that share a word."""
-    base = items(docs(spark, sf_dir)).select("id", "lang", "source", F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"), t.word_count(F.col("text")).alias("n_words"))
-    scored = document_cosine(spark, sf_dir).withColumnRenamed("cosine", "cosine_value")
-    labelled = features.label_pairs(scored, enemies(spark, sf_dir))
-    return features.complete(features.pair_features(labelled, base, ("source", "lang")))
+    """The labelled feature table of all pairs that share a kept word."""
+    words = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"))
+    base = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", "source", t.word_count(F.col("text")).alias("n_words"))
+    scored = document_cosine(spark, sf_dir).withColumnRenamed("cosine", "cosine_value").join(similarity.set_jaccard(words).withColumnRenamed("jaccard", "jaccard_value"), ["id_a", "id_b"])
+    return features.complete(features.pair_features(features.label_by_group(scored, same_texts(spark, sf_dir)), base, ("source", "lang")))
 
 
 def whole_features(spark, sf_dir: str) -> DataFrame:
@@ -129,24 +127,21 @@ def whole_features(spark, sf_dir: str) -> DataFrame:
     dtm = kept_counts(spark, sf_dir)
     base = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", "source", F.array_distinct(t.tokens(t.clean_text(F.col("text")))).alias("words"), t.word_count(F.col("text")).alias("n_words"), F.unhex(F.sha2("text", 256)).alias("text"))
     base = base.join(dtm.select(F.col("doc").alias("id")).distinct(), "id", "left_semi")
-    one = base.select(F.col("id").alias("doc"), F.lit("").alias("block"))
-    words = similarity.set_jaccard(base, None).withColumnRenamed("jaccard", "jaccard_value")
-    scored = words.join(similarity.vsm_cosine(dtm, one), ["id_a", "id_b"], "left").select("id_a", "id_b", "jaccard_value", F.coalesce("cosine", F.lit(0.0)).alias("cosine_value"))
+    words = similarity.set_jaccard(base).withColumnRenamed("jaccard", "jaccard_value")
+    scored = words.join(similarity.vsm_cosine(dtm), ["id_a", "id_b"], "left").select("id_a", "id_b", "jaccard_value", F.coalesce("cosine", F.lit(0.0)).alias("cosine_value"))
     return features.complete(features.pair_features(scored, base, ("source", "lang", "text")).withColumnRenamed("same_text", "enemy_yes"))
 
 
-PAIRS_SQL = rf"""{KEPT}, {NORMS}, {BLOCKS}, {LABELS}, c AS ({_cosine()}),
-sets AS (SELECT DISTINCT doc, term FROM ({tokens()})), sn AS (SELECT doc, count(*) AS n FROM sets GROUP BY doc),
-o AS (SELECT c.id_a, c.id_b, count(*) AS o FROM c JOIN sets x ON x.doc = c.id_a JOIN sets y ON y.doc = c.id_b AND x.term = y.term GROUP BY 1, 2),
-len AS (SELECT doc_id, lang, source, length(regexp_replace(text, '[^/_\s]', '', 'g')) + (text <> '' AND NOT regexp_matches(text, '[/_\s]$'))::INT AS n FROM documents),
-pairs AS (SELECT c.id_a, c.id_b, cosine AS cosine_value, (l.id_a IS NOT NULL)::INT AS enemy_yes, o.o / (na.n + nb.n - o.o) AS jaccard_value, (la.n + lb.n) / 2 AS avg_item_length, (la.source = lb.source)::INT AS same_source, (la.lang = lb.lang)::INT AS same_lang
-FROM c JOIN o USING (id_a, id_b) JOIN sn na ON na.doc = c.id_a JOIN sn nb ON nb.doc = c.id_b JOIN len la ON la.doc_id = c.id_a JOIN len lb ON lb.doc_id = c.id_b LEFT JOIN labels_ab l ON l.id_a = c.id_a AND l.id_b = c.id_b)"""
+PAIRS_SQL = rf"""{KEPT}, {NORMS}, c AS ({_cosine()}), {JACCARD},
+len AS (SELECT doc_id, text, lang, source, length(regexp_replace(text, '[^/_\s]', '', 'g')) + (text <> '' AND NOT regexp_matches(text, '[/_\s]$'))::INT AS n FROM documents),
+pairs AS (SELECT c.id_a, c.id_b, cosine AS cosine_value, (la.text = lb.text)::INT AS enemy_yes, o / (na.n + nb.n - o) AS jaccard_value, (la.n + lb.n) / 2 AS avg_item_length, (la.source = lb.source)::INT AS same_source, (la.lang = lb.lang)::INT AS same_lang
+FROM c JOIN shared ON a = id_a AND b = id_b JOIN sn na ON na.doc = c.id_a JOIN sn nb ON nb.doc = c.id_b JOIN len la ON la.doc_id = c.id_a JOIN len lb ON lb.doc_id = c.id_b)"""
 
 
-@query(f"WITH {PAIRS_SQL} SELECT id_a, id_b, round(cosine_value, 6) AS cosine_value, enemy_yes, round(jaccard_value, 6) AS jaccard_value, avg_item_length, same_source, same_lang FROM pairs")
+@query(f"WITH {PAIRS_SQL} SELECT id_a, id_b, round(cosine_value, 6) AS cosine_value, enemy_yes, jaccard_value, avg_item_length, same_source, same_lang FROM pairs")
 def pair_features(spark, sf_dir):
     f = document_features(spark, sf_dir)
-    return f.select("id_a", "id_b", F.round("cosine_value", 6).alias("cosine_value"), "enemy_yes", F.round("jaccard_value", 6).alias("jaccard_value"), "avg_item_length", "same_source", "same_lang")
+    return f.select("id_a", "id_b", F.round("cosine_value", 6).alias("cosine_value"), "enemy_yes", "jaccard_value", "avg_item_length", "same_source", "same_lang")
 
 
 @query(f"WITH {PAIRS_SQL} SELECT enemy_yes, count(*) AS cosine_value_count, round(avg(cosine_value), 5) AS cosine_value_mean, round(stddev_samp(cosine_value), 5) AS cosine_value_sd, round(min(cosine_value), 5) AS cosine_value_min_value, round(quantile_cont(cosine_value, 0.25), 5) AS cosine_value_q1, round(quantile_cont(cosine_value, 0.5), 5) AS cosine_value_median, round(quantile_cont(cosine_value, 0.75), 5) AS cosine_value_q3, round(max(cosine_value), 5) AS cosine_value_max_value FROM pairs GROUP BY enemy_yes")
@@ -240,12 +235,12 @@ def topic_prevalence(spark, sf_dir):
     return topics.prevalence(gammas(spark, sf_dir)).withColumn("prevalence", F.round("prevalence", 6))
 
 
-@query(f"""WITH {BLOCKS}, pairs AS (SELECT x.doc AS id_a, y.doc AS id_b FROM b x JOIN b y ON x.block = y.block AND x.doc < y.doc), t AS (SELECT doc_id, text, nullif(source, 'src1') AS topic FROM documents)
+@query("""WITH pairs AS (SELECT x.doc_id AS id_a, y.doc_id AS id_b FROM documents x JOIN documents y ON x.doc_id < y.doc_id), t AS (SELECT doc_id, text, nullif(source, 'src1') AS topic FROM documents)
 SELECT id_a, id_b, length(a.text)::INT AS length_a, length(b.text)::INT AS length_b, a.topic AS topic_a, b.topic AS topic_b, coalesce((a.topic = b.topic)::INT, 0) AS same_topic
 FROM pairs JOIN t a ON a.doc_id = id_a JOIN t b ON b.doc_id = id_b""")
 def final_merge(spark, sf_dir):
     d = docs(spark, sf_dir).withColumnRenamed("doc_id", "id")
-    merged = report.final_merge(similarity.pairs(items(docs(spark, sf_dir))), d.select("id", "text"), d.select("id", F.nullif("source", F.lit("src1")).alias("topic")))
+    merged = report.final_merge(similarity.pairs(items(docs(spark, sf_dir)), None), d.select("id", "text"), d.select("id", F.nullif("source", F.lit("src1")).alias("topic")))
     return merged.select("id_a", "id_b", F.length("text_a").alias("length_a"), F.length("text_b").alias("length_b"), "topic_a", "topic_b", "same_topic")
 
 

@@ -86,7 +86,7 @@ def combine_keywords(spark, sf_dir):
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[[:punct:]]', '', 'g'), '[0-9]+', '', 'g'), '\s+', ' ', 'g') AS plain, regexp_replace(text, '\t', ' ') AS first_tab FROM documents""")
 def strip_classes(spark, sf_dir):
     plain = t.strip_whitespace(t.remove_numbers(t.remove_punctuation(F.col("text"))))
-    return docs(spark, sf_dir).select("doc_id", plain.alias("plain"), F.regexp_replace("text", "\t", " ").alias("first_tab"))
+    return docs(spark, sf_dir).select("doc_id", plain.alias("plain"), t.replace_first(F.col("text"), "\t", " ").alias("first_tab"))
 
 
 @query("SELECT c_custkey, upper(left(c_mktsegment, 1)) || lower(substring(c_mktsegment, 2)) AS titled, lower(c_mktsegment) AS lowered FROM customer")
