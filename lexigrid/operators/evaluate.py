@@ -36,3 +36,11 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
 def evaluate(rows: DataFrame, label: str, flag: str, score: str) -> DataFrame:
     """One row: cells, measures and auc."""
     return measures(confusion(rows, label, flag)).join(auc(rows, label, score), F.lit(True))
+
+
+def roc_points(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """(threshold, tpr, fpr) at each distinct score, the rows at or over it counted as positive; null where a class is empty. The one ordered pass is over distinct scores."""
+    by = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    down, whole = Window.partitionBy(F.lit(1)).orderBy(F.desc("threshold")), Window.partitionBy(F.lit(1))
+    share = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(whole))
+    return by.select("threshold", share("p").alias("tpr"), share("n").alias("fpr"))

@@ -191,7 +191,7 @@ def relabel(spark, sf_dir):
     return report.relabel(report.flags(rows, {"prob": "rf"}, (0.7,))).select("id", "prob", "enemy_07_rf", "enemy_original", "enemy_yes")
 
 
-@query()
+@query("SELECT * FROM nation")
 def csv_round_trip(spark, sf_dir) -> DataFrame:
     """Written as CSV with a header under the warehouse folder and read with the same schema."""
     import uuid

@@ -73,3 +73,21 @@ def block_of(lang: str = "lang", n_chars: str = "n_chars") -> Column:
 def items(documents: DataFrame) -> DataFrame:
     """Documents as an item bank: id, text, block, and lang and source as attributes."""
     return documents.select(F.col("doc_id").alias("id"), "text", block_of().alias("block"), "lang", "source", "n_chars")
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """A workbook as a folder: one CSV table with a header for each sheet."""
+    for name, df in sheets.items():
+        write_csv(df, f"{path}/{name}")
+
+
+def read_sheet(spark: SparkSession, path: str, name: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(f"{path}/{name}")
+
+
+def read_lexicon(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """(form, lemma, upos), lower-cased, one row a form, from a table with these columns; the first lemma and tag of a form by code point."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("form", "lemma", "upos")])
+    raw = spark.read.schema(schema).option("header", True).csv(path) if kind == "csv" else spark.read.schema(schema).parquet(path)
+    first = raw.filter("form is not null and upos is not null").groupBy(F.lower("form").alias("form")).agg(F.min(F.struct(F.coalesce(F.lower("lemma"), F.lower("form")).alias("lemma"), F.upper("upos").alias("upos"))).alias("x"))
+    return first.select("form", "x.lemma", "x.upos")
