@@ -23,11 +23,12 @@ from pyspark.sql import types as T
 
 from .common import Scratch, carried, fields_of, shielded, sliced, utf8, written
 
-#: Words kept with their counts by a task; beyond it the memory starts anew.
-MEMO_WORDS = 200_000
+#: Words kept with their counts by a worker, some 50 MB; beyond it the memory starts anew.
+MEMO_WORDS = 300_000
 SPACES = " \t\n\x0b\x0c\r"
 
 _loaded: dict[str, tuple] = {}
+_counted: dict[str, dict[bytes, int]] = {}
 
 
 def separable(settings: dict) -> bool:
@@ -129,8 +130,8 @@ def spliced(chunks: list[dict]) -> int | None:
 
 def _count(name: str, names: list[str], body: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
-        for b in sliced(batches, body):
+        memo = _counted.setdefault(name, {})
+        for b in sliced(batches, body, 4 << 20):
             counts = count_texts(b.column(body).to_pylist(), name, memo)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(counts, pa.int64())], [*names, "n_tokens"])
 
