@@ -5,6 +5,10 @@ gear hash says so, so that equal stretches are cut alike wherever they lie. Chun
 a join elects one owner for each digest, only the owner's container keeps the bytes, and every document keeps
 its ordered list of digests. Reading back puts each file together from its own chunks and those that others
 own, checks every digest, and computes the features from what was read.
+
+A chunk that makes up a large part of all rows would be one hot key of the joins by digest. There are less than
+OFTEN chunks with more than a share of 1 / OFTEN of all rows, of at most 16 KB each: these meet their rows
+by broadcast, and only the others by a shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from .common import shared_dir, shielded, sliced, table, text_batches, utf8
 
 RATE = 8_000
 HEADER = 44
+#: Chunks with a larger share of all rows than 1 / OFTEN are joined by broadcast: fewer than OFTEN of them, 16 MB at most.
+OFTEN = 1_000
 
 
 @lru_cache(1)
@@ -78,9 +84,9 @@ MANIFEST = "uid string, seq int, digest binary"
 
 
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches, "text"):
+    for b in sliced(batches, "__text"):
         uid, seq, digest = [], [], []
-        for u, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist(), strict=True):
+        for u, text in zip(b.column("uid").to_pylist(), b.column("__text").to_pylist(), strict=True):
             for k, c in enumerate(chunks_of(payload_of(text)[0])):
                 uid.append(u)
                 seq.append(k)
@@ -88,20 +94,20 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(uid, pa.string()), pa.array(seq, pa.int32()), pa.array(digest, pa.binary())], ["uid", "seq", "digest"])
 
 
-CONTAINER = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary()), ("shared", pa.bool_())]))
-CHUNKS = "chunks array<struct<digest: binary, bytes: binary, shared: boolean>>"
+CONTAINER = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary()), ("shared", pa.bool_()), ("often", pa.bool_())]))
+CHUNKS = "chunks array<struct<digest: binary, bytes: binary, shared: boolean, often: boolean>>"
 
 
 def _contain(names: list[str]):
-    """Rows (…, uid, text, foreign, lent) to containers: no bytes for the foreign chunks, a mark on the lent ones."""
+    """Rows (…, uid, __text, __foreign, __lent, __often) to containers: no bytes for the foreign chunks, a mark on the lent ones and on those of many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "__text"):
             n_bytes, head, lists = [], [], []
-            for text, foreign, lent in zip(*(b.column(c).to_pylist() for c in ("text", "foreign", "lent")), strict=True):
+            for text, *marks in zip(*(b.column(c).to_pylist() for c in ("__text", "__foreign", "__lent", "__often")), strict=True):
                 payload, n = payload_of(text)
-                not_own, shared = set(foreign or ()), set(lent or ())
-                lists.append([{"digest": hashlib.sha256(c).digest(), "bytes": None if k in not_own else c, "shared": k in shared} for k, c in enumerate(chunks_of(payload))])
+                not_own, shared, often = (set(m or ()) for m in marks)
+                lists.append([{"digest": hashlib.sha256(c).digest(), "bytes": None if k in not_own else c, "shared": k in shared, "often": k in often} for k, c in enumerate(chunks_of(payload))])
                 n_bytes.append(n)
                 head.append(wav_header(len(payload)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in [*names, "uid"]), pa.array(n_bytes, pa.int64()), pa.array(head, pa.binary()), pa.array(lists, CONTAINER)], [*names, "uid", "n_bytes", "header", "chunks"])
@@ -140,7 +146,7 @@ def _ddl(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, broadcast_bytes: int = 32_000_000) -> DataFrame:
+def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, broadcast_bytes: int = 32_000_000, often: int = OFTEN) -> DataFrame:
     """Writes docs as containers under path and gives them: the columns ``keep`` (all but the text if not given), uid, n_bytes, header, chunks.
 
     A null text is an empty one. uid tells rows apart by their doc_id and text; equal rows have equal
@@ -151,32 +157,41 @@ def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
     names = [c for c in (keep if keep is not None else docs.columns) if c not in ("uid", "header", "chunks", text_col, *RESULT)]
     ident = F.col("doc_id").cast("string") if "doc_id" in docs.columns else F.lit("")
     uid = F.concat_ws(":", F.coalesce(ident, F.lit("null")), F.hex(F.xxhash64(text_col)), F.coalesce(F.octet_length(text_col), F.lit(-1)))
-    base = docs.select(*(F.col(f"`{c}`") for c in names), uid.alias("uid"), F.col(text_col).alias("text"))
-    base.select("uid", "text").mapInArrow(_manifest, MANIFEST).write.parquet(f"{path}/manifest")
+    base = docs.select(*(F.col(f"`{c}`") for c in names), uid.alias("uid"), F.col(text_col).alias("__text"))
+    base.select("uid", "__text").mapInArrow(_manifest, MANIFEST).write.parquet(f"{path}/manifest")
     manifest = spark.read.parquet(f"{path}/manifest")
     # Only digests that occur twice need an owner: elsewhere a chunk is its document's own.
-    owners = manifest.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "seq")).alias("owner")).filter("n > 1")
-    refs = manifest.join(owners, "digest").select("uid", "seq", (F.struct("uid", "seq") == F.col("owner")).alias("own"))
-    refs = refs.groupBy("uid").agg(F.collect_set(F.when(~F.col("own"), F.col("seq"))).alias("foreign"), F.collect_set(F.when(F.col("own"), F.col("seq"))).alias("lent"))
+    manifest.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "seq")).alias("owner")).filter("n > 1").write.parquet(f"{path}/owners")
+    owners = spark.read.parquet(f"{path}/owners").withColumn("often", F.col("n") * F.lit(often) > F.lit(manifest.count()))
+    few = F.broadcast(owners.filter("often"))
+    rest = manifest.join(few.select("digest"), "digest", "left_anti").join(owners.filter("not often"), "digest")
+    refs = manifest.join(few, "digest").unionByName(rest).select("uid", "seq", "often", (F.struct("uid", "seq") == F.col("owner")).alias("own"))
+    marked = {"__foreign": ~F.col("own"), "__lent": F.col("own"), "__often": F.col("often")}
+    refs = refs.groupBy("uid").agg(*(F.collect_set(F.when(c, F.col("seq"))).alias(k) for k, c in marked.items()))
     refs.write.parquet(f"{path}/shared")
     refs = spark.read.parquet(f"{path}/shared")
-    held = refs.agg(F.sum(64 + F.octet_length("uid") + 4 * (F.size("foreign") + F.size("lent")))).first()[0] or 0
+    held = refs.agg(F.sum(64 + F.octet_length("uid") + 4 * (F.size("__foreign") + F.size("__lent") + F.size("__often")))).first()[0] or 0
     rows = base.join(F.broadcast(refs) if held <= broadcast_bytes else refs, "uid", "left")
-    rows = rows.select(*(F.col(f"`{c}`") for c in names), "uid", "text", "foreign", "lent")
+    rows = rows.select(*(F.col(f"`{c}`") for c in names), "uid", "__text", *marked)
     rows.mapInArrow(_contain(names), f"{_ddl(base, [*names, 'uid'])}, n_bytes long, header binary, {CHUNKS}").write.option("compression", "zstd").parquet(f"{path}/containers")
     return spark.read.parquet(f"{path}/containers")
 
 
 def read_media(containers: DataFrame) -> DataFrame:
-    """The kept columns with what reading each file back gives (RESULT)."""
+    """The kept columns with what reading each file back gives (RESULT), of the containers of one store()."""
     names = [c for c in containers.columns if c not in ("uid", "n_bytes", "header", "chunks")]
     kinds = f"{_ddl(containers, names)}{RESULT_KINDS}" if names else RESULT_KINDS[2:]
     whole = ~F.exists("chunks", lambda c: c["bytes"].isNull())
     alone = containers.filter(whole).mapInArrow(_read(names), kinds)
     lacking = containers.filter(~whole)
-    wanted = lacking.select("uid", F.posexplode("chunks").alias("seq", "c")).filter("c.bytes is null").select("uid", "seq", F.col("c.digest").alias("digest")).distinct()
-    lent = containers.select(F.explode(F.filter("chunks", lambda c: c["shared"])).alias("c")).groupBy(F.col("c.digest").alias("digest")).agg(F.first("c.bytes").alias("bytes"))
-    borrowed = wanted.join(lent, "digest").groupBy("uid").agg(F.collect_list(F.struct("seq", "bytes")).alias("borrowed"))
+    wanted = lacking.select("uid", F.posexplode("chunks").alias("seq", "c")).filter("c.bytes is null").select("uid", "seq", F.col("c.digest").alias("digest"), F.col("c.often").alias("often")).distinct()
+
+    def found(often: bool) -> DataFrame:
+        those = F.filter("chunks", lambda c: c["shared"] & (c["often"] == F.lit(often)))
+        lent = containers.select(F.explode(those).alias("c")).groupBy(F.col("c.digest").alias("digest")).agg(F.first("c.bytes").alias("bytes"))
+        return wanted.filter(F.col("often") == F.lit(often)).join(F.broadcast(lent) if often else lent, "digest").select("uid", "seq", "bytes")
+
+    borrowed = found(True).unionByName(found(False)).groupBy("uid").agg(F.collect_list(F.struct("seq", "bytes")).alias("borrowed"))
     rest = lacking.join(borrowed, "uid").mapInArrow(_read(names), kinds)
     return alone.unionByName(rest)
 

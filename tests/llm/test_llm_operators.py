@@ -591,14 +591,17 @@ def test_mix_reaches_targets(spark, docs, empty):
 # --- media
 
 
-def test_media_round_trip(spark, docs, empty, tmp_path):
+@pytest.mark.parametrize("often", [media.OFTEN, 0])
+def test_media_round_trip(spark, docs, empty, tmp_path, often):
+    """With 0 no chunk is joined by broadcast."""
     rng = random.Random(8)
     shared = lorem(rng, 4000)
     more = spark.createDataFrame([(2000 + i, (lorem(rng, 300) + " " + shared) if i % 2 else shared, "en", "s", 0) for i in range(6)], SCHEMA)
     rows = docs.union(more)
-    store = media.store(clash(rows, "chunks", "feature"), str(tmp_path / "m"))
+    store = media.store(clash(rows, "chunks", "feature", "foreign", "often", "digest"), str(tmp_path / "m"), often=often)
     chunks = [c for r in store.collect() for c in r.chunks]
     assert sum(c.bytes is None for c in chunks) > 5
+    assert all(c.often == (often > 0) for c in chunks if c.bytes is None)
     out = media.read_media(store).collect()
     assert len(out) == rows.count()
     want = {(r.doc_id, r.text) for r in rows.collect()}
