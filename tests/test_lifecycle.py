@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import text as t
 from lexigrid.operators import evaluate, terms
 from lexigrid.plans import lifecycle
-from lexigrid.streaming.scorer import score_stream
+from lexigrid.streaming.scorer import against_bank, score_stream
 
 
 def bank(spark, n=36):
@@ -54,5 +54,9 @@ def test_stream_scores_each_batch(spark, tmp_path):
     new = spark.readStream.schema("id long, text string").parquet(str(tmp_path / "in"))
     q = score_stream(new, static, lambda df, n: got.extend(df.collect()), str(tmp_path / "cp"))
     q.processAllAvailable()
+    spark.createDataFrame([(101, "blue sky")], "id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
     q.stop()
-    assert [(r.new_id, r.id) for r in got] == [(100, 1)] and got[0].cosine > 0.8
+    assert [(r.new_id, r.id) for r in got] == [(100, 1), (101, 2)] and got[0].cosine > 0.8
+    want = {(r.new_id, r.id): r.cosine for r in against_bank(spark.read.parquet(str(tmp_path / "in")), static).collect()}
+    assert {(r.new_id, r.id) for r in got} == set(want) and all(abs(r.cosine - want[r.new_id, r.id]) < 1e-12 for r in got)
