@@ -6,8 +6,9 @@ by their frequency among all words, then by the bigram, and those of one word th
 word at most two bigrams come before the first that they share, and it is the same in both: so near words share one of
 their three rarest, at places at most one apart, and nothing else needs to be compared.
 
-The edit lies on one side of the shared bigram, so what stands on the other side is equal: the join is on that too,
-which splits the bucket of a frequent ending or beginning, and fixes the places. What meets is verified.
+The edit lies on one side of the shared bigram, so what stands on the other side is equal, and so is one half of what
+stands on its own side: the join is on these too, by a hash, which splits the bucket of a frequent bigram and fixes the
+places. What meets is verified.
 """
 
 from __future__ import annotations
@@ -34,32 +35,40 @@ def mistyped(runs: DataFrame, every: int = 97) -> Column:
     return F.when(h % every == 0, F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))).otherwise(F.col("run"))
 
 
-def rarest_bigrams(words: DataFrame, most: int = 3) -> DataFrame:
-    """(word, gram, place): the bigrams of each word that are the rarest among all words; place from 0."""
-    grams = words.select("word", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("place", "gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("rank"))  # at most as many as pairs of letters
-    ranked = grams.join(counts, "gram").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("rank", "gram", "place"))).alias("grams"))  # a word's own bigrams
-    return ranked.select("word", F.explode(F.slice("grams", 1, most)).alias("g")).select("word", "g.gram", "g.place")
+def rarest_bigrams(words: DataFrame, scratch: Scratch, most: int = 3, broadcast_rows: int = 65_536) -> DataFrame:
+    """(word, gram, place): the bigrams of each word that are the rarest among all words; place from 0.
+
+    The frequencies are at most as many as pairs of letters, 8,100 of the given alphabet; up to ``broadcast_rows`` they are broadcast, beyond it joined by a shuffle.
+    """
+    bigrams = F.posexplode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring(F.col("word"), i, F.lit(2)))).alias("place", "gram")
+    counts = scratch.written(words.select(bigrams).groupBy("gram").agg(F.count(F.lit(1)).alias("rank")), "bigrams")
+    grams = words.select("word").repartition("word").select("word", bigrams)
+    ranked = grams.join(F.broadcast(counts) if counts.count() <= broadcast_rows else counts, "gram")
+    kept = ranked.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("rank", "gram", "place"))).alias("grams"))  # a word's own bigrams
+    return kept.select("word", F.explode(F.slice("grams", 1, most)).alias("g")).select("word", "g.gram", "g.place")
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
+def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b), each pair of near words once, the shorter or smaller one first; words (word) are distinct and have three bigrams or more."""
-    n, at = F.length("word"), F.col("place")
-    grams = rarest_bigrams(words).withColumn("n", n)
-    before, after = F.substring(F.col("word"), F.lit(1), at + 2), F.substring(F.col("word"), at + 1, n)
-    key = lambda side, length, part: F.struct(F.lit(side).alias("side"), length.alias("n"), part.alias("part"))
-    # What comes after the bigram is equal: in a longer word the bigram lies one place further. What comes before: at the same place.
-    index = grams.select(F.col("word").alias("b"), F.explode(F.array(key(0, n, F.concat_ws(" ", "gram", at.cast("string"), before)), key(1, n, F.concat_ws(" ", "gram", at.cast("string"), after)))).alias("k")).select("b", "k.*")
-    probes = grams.select(
-        F.col("word").alias("a"),
-        F.explode(F.array(
-            key(0, n, F.concat_ws(" ", "gram", at.cast("string"), before)),
-            key(1, n, F.concat_ws(" ", "gram", at.cast("string"), after)),
-            key(0, n + 1, F.concat_ws(" ", "gram", at.cast("string"), before)),
-            key(1, n + 1, F.concat_ws(" ", "gram", (at + 1).cast("string"), after)),
-        )).alias("k"),
-    ).select("a", "k.*")
-    met = probes.join(index, ["side", "n", "part"]).filter(((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    grams = rarest_bigrams(words, scratch)
+    w, n, at = F.col("word"), F.length("word"), F.col("place")
+    part = lambda start, length: F.substring(w, start + 1, length)
+    # (side, what is equal with the bigram, where the rest with the edit begins, its length)
+    sides = ((0, part(F.lit(0), at + 2), at + 2, n - at - 2), (1, part(at, n), F.lit(0), at))
+
+    def keys(longer: int, own: int) -> list[Column]:
+        """For pairs of one length (longer 0) or of lengths one apart (1); own 1 on the side of the longer word, whose rest has one code point more."""
+        out = []
+        for side, known, start, rest in sides:
+            m = rest - own
+            h = F.floor(m / 2).cast("int")
+            for half, text in ((0, part(start, h)), (1, part(start + own + h, m - h))):
+                out.append(F.when(m >= 0, F.xxhash64(F.lit(4 * longer + 2 * side + half), n - own, known, text)))
+        return out
+
+    dealt = lambda name, *lists: grams.select(w.alias(name), F.explode(F.array_distinct(F.array_compact(F.array(*lists)))).alias("key"))
+    met = dealt("a", *keys(0, 0), *keys(1, 0)).join(dealt("b", *keys(0, 0), *keys(1, 1)), "key")
+    met = met.filter(((F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "b").distinct()
 
 
@@ -84,7 +93,7 @@ def spelling_variants(words: DataFrame, times: int = 2) -> DataFrame:
     scratch = Scratch(words.sparkSession, "spelling")
     short = F.assert_true(F.length("word") > 3, F.lit("words of fewer than four code points"))
     words = scratch.written(words.select("word", F.col("n").cast("long").alias("n")).filter(short.isNull()), "words")
-    pairs = scratch.written(near_pairs(words.select("word")), "pairs")
+    pairs = scratch.written(near_pairs(words.select("word"), scratch), "pairs")
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other")))
     best = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("m"), F.col("other").alias("w"))).alias("best"))
     has_form = -F.col("best.m") >= times * F.col("n")
