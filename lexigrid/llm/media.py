@@ -124,6 +124,8 @@ def _read(names: list[str]):
             borrowed = b.column("borrowed").to_pylist() if "borrowed" in b.schema.names else [None] * len(b)
             for n, head, chunks, others in zip(b.column("n_bytes").to_pylist(), b.column("header").to_pylist(), b.column("chunks").to_pylist(), borrowed, strict=True):
                 by = {o["seq"]: o["bytes"] for o in others or ()}
+                if any(c["bytes"] is None and by.get(k) is None for k, c in enumerate(chunks)):
+                    raise ValueError("a chunk is in none of the containers that are read")
                 parts = [c["bytes"] if c["bytes"] is not None else by[k] for k, c in enumerate(chunks)]
                 if any(hashlib.sha256(p).digest() != c["digest"] for p, c in zip(parts, chunks, strict=True)):
                     raise ValueError("a stored chunk does not match its digest")
@@ -178,7 +180,7 @@ def store(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] |
 
 
 def read_media(containers: DataFrame) -> DataFrame:
-    """The kept columns with what reading each file back gives (RESULT), of the containers of one store()."""
+    """The kept columns with what reading each file back gives (RESULT), of the containers of one store(). A container whose lender is not among them ends the job with a ValueError."""
     names = [c for c in containers.columns if c not in ("uid", "n_bytes", "header", "chunks")]
     kinds = f"{_ddl(containers, names)}{RESULT_KINDS}" if names else RESULT_KINDS[2:]
     whole = ~F.exists("chunks", lambda c: c["bytes"].isNull())
@@ -192,7 +194,7 @@ def read_media(containers: DataFrame) -> DataFrame:
         return wanted.filter(F.col("often") == F.lit(often)).join(F.broadcast(lent) if often else lent, "digest").select("uid", "seq", "bytes")
 
     borrowed = found(True).unionByName(found(False)).groupBy("uid").agg(F.collect_list(F.struct("seq", "bytes")).alias("borrowed"))
-    rest = lacking.join(borrowed, "uid").mapInArrow(_read(names), kinds)
+    rest = lacking.join(borrowed, "uid", "left").mapInArrow(_read(names), kinds)
     return alone.unionByName(rest)
 
 

@@ -164,4 +164,5 @@ def write_mix(mixed: DataFrame, columns: list[str], path: str) -> None:
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")  # where the tree sends each draw
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))

@@ -96,7 +96,7 @@ def quality_rules(docs: DataFrame, host_col: str = "source", text_col: str = "te
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
 OP4_SQL = r"""
@@ -130,6 +130,6 @@ WITH w AS (
 ), r AS (
   SELECT source, (f + m * weight) / (n + weight) AS rate, lim FROM h, p
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate <= lim, true) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(rate <= lim, true) AS kept, round(rate, 6) AS host_rate
 FROM b LEFT JOIN r USING (source)
 """

@@ -205,8 +205,43 @@ def decode(scores: np.ndarray, moves: np.ndarray) -> dict[int, int]:
     return out
 
 
+def gradient(model: Field, matrix: np.ndarray, at: list[np.ndarray], tags: np.ndarray, files: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Minus the log likelihood of padded sequences and its gradient by model.shape, model.file and model.moves. A sequence ends where its shapes are 0: what pads it takes no part."""
+    n, length = tags.shape
+    real = at[0] > 0
+    onehot = np.eye(3)[tags] * real[..., None]
+    e = (sum(b[i] for b, i in zip(model.by_shape(matrix), at, strict=True)) + model.file[files][:, None, :]) * real[..., None]
+    move = model.moves
+    alpha, beta = np.zeros((n, length, 3)), np.zeros((n, length, 3))
+    alpha[:, 0] = e[:, 0] + move[O]
+    for t in range(1, length):
+        x = alpha[:, t - 1, :, None] + move
+        top = x.max(1)
+        alpha[:, t] = np.where(real[:, t, None], top + np.log(np.exp(x - top[:, None]).sum(1)) + e[:, t], alpha[:, t - 1])
+    for t in range(length - 2, -1, -1):
+        x = move + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
+        top = x.max(2)
+        beta[:, t] = np.where(real[:, t + 1, None], top + np.log(np.exp(x - top[..., None]).sum(2)), 0.0)
+    z = alpha[:, -1].max(1)
+    z = z + np.log(np.exp(alpha[:, -1] - z[:, None]).sum(1))
+    marginal = np.exp(alpha + beta - z[:, None, None]) * real[..., None]
+    pair = np.exp(np.where(real[:, 1:, None, None], alpha[:, :-1, :, None] + move + (e + beta)[:, 1:, None, :] - z[:, None, None, None], -np.inf))
+    before = np.concatenate([np.zeros((n, 1), int), tags[:, :-1]], 1)
+    moved = np.zeros((3, 3))
+    np.add.at(moved, (before.ravel(), tags.ravel()), real.ravel().astype(float))
+    expected = pair.sum((0, 1))
+    expected[O] += marginal[:, 0].sum(0)
+    miss = marginal - onehot
+    by_shape, by_file = np.zeros_like(model.shape), np.zeros_like(model.file)
+    for k, i in enumerate(at):
+        by_shape[k] = matrix.T @ np.stack([np.bincount(i.ravel(), miss[..., y].ravel(), len(matrix)) for y in range(3)], 1)
+    np.add.at(by_file, files, miss.sum(1))
+    held = float((e * onehot).sum() + (np.where(moved > 0, move, 0.0) * moved).sum())
+    return float(z.sum()) - held, [by_shape, by_file, expected - moved]
+
+
 def train(sequences: list[tuple[np.ndarray, np.ndarray, int]], matrix: np.ndarray, rounds: int = 300, rate: float = 0.1, decay: float = 3e-4) -> Field:
-    """Maximum likelihood with a square penalty, by Adam; sequences of (shapes with two before and one after, tags, file class) of one length."""
+    """Maximum likelihood with a square penalty, by Adam; sequences of (shapes with two before and one after, tags, file class), padded with zeros to one length."""
     model = Field()
     if not sequences:
         model.file[:, O] = 10.0
@@ -214,41 +249,10 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray, int]], matrix: np.ndarra
     ids, tags, files = (np.array([s[i] for s in sequences]) for i in range(3))
     n, length = tags.shape
     at = [ids[:, 2 + p : 2 + p + length] for p in PLACES]
-    real = (at[0] > 0).astype(float)
-    onehot = np.eye(3)[tags] * real[..., None]
     theta = [model.shape, model.file, model.moves]
     m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
-    moved = np.zeros((3, 3))
-    before = np.concatenate([np.zeros((n, 1), int), tags[:, :-1]], 1)
-    np.add.at(moved, (before.ravel(), tags.ravel()), real.ravel())
     for step in range(1, rounds + 1):
-        by = model.by_shape(matrix)
-        e = sum(b[i] for b, i in zip(by, at, strict=True)) + model.file[files][:, None, :]
-        e = e * real[..., None]
-        move = model.moves
-        alpha, beta = np.zeros((n, length, 3)), np.zeros((n, length, 3))
-        alpha[:, 0] = e[:, 0] + move[O]
-        for t in range(1, length):
-            x = alpha[:, t - 1, :, None] + move
-            top = x.max(1)
-            alpha[:, t] = top + np.log(np.exp(x - top[:, None]).sum(1)) + e[:, t]
-        for t in range(length - 2, -1, -1):
-            x = move + (e[:, t + 1] + beta[:, t + 1])[:, None, :]
-            top = x.max(2)
-            beta[:, t] = top + np.log(np.exp(x - top[..., None]).sum(2))
-        z = alpha[:, -1].max(1)
-        z = z + np.log(np.exp(alpha[:, -1] - z[:, None]).sum(1))
-        marginal = np.exp(alpha + beta - z[:, None, None])
-        pair = np.exp(alpha[:, :-1, :, None] + move + (e + beta)[:, 1:, None, :] - z[:, None, None, None])
-        expected = np.einsum("ntij,nt->ij", pair, real[:, 1:])
-        expected[O] += marginal[:, 0].sum(0)
-        miss = marginal * real[..., None] - onehot
-        g = [np.zeros_like(x) for x in theta]
-        for k, i in enumerate(at):
-            flat = np.stack([np.bincount(i.ravel(), miss[..., y].ravel(), len(matrix)) for y in range(3)], 1)
-            g[0][k] = matrix.T @ flat
-        np.add.at(g[1], files, miss.sum(1))
-        g[2] = expected - moved
+        _, g = gradient(model, matrix, at, tags, files)
         for j, x in enumerate(theta):
             grad = g[j] / n + decay * x
             m[j] = 0.9 * m[j] + 0.1 * grad

@@ -3,7 +3,7 @@
 1. Count the rows of each input partition.
 2. On the driver, draw how many rows each partition sends to each shard: row by row of the matrix a
    multivariate hypergeometric draw from what the shards still have room for. So the shard sizes are exact.
-3. Permute each partition locally (a sort by a hash); the row at place r of its permutation goes to the shard
+3. Permute each partition locally (a sort by a hash of the row's place); the row at place r of its permutation goes to the shard
    in whose range of the partition's matrix row r lies.
 4. Exchange, and permute again inside the shard. A shard is dealt into cells at random and each cell is
    ordered at random, so no task holds a shard; the cells' sizes give the place of each cell.
@@ -17,7 +17,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import shielded, table, written
 
@@ -99,8 +98,8 @@ def shard_rows(docs: DataFrame, n_shards: int = 8, seed: int = 0, stable: bool =
     before = F.coalesce(F.sum("__n").over(Window.partitionBy("__shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = taken.select("__shard", "__cell", "__n", before.alias("__start"))
 
-    by = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    permuted = docs.sortWithinPartitions(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in by)))
+    # By the row's place, not by what it holds: equal rows go apart like any others.
+    permuted = docs.withColumn("__at", F.monotonically_increasing_id()).sortWithinPartitions(F.xxhash64(F.lit(seed), "__at"), "__at")
     rows = _placed(permuted, plan, seed, cells)
     inside = F.row_number().over(Window.partitionBy("__shard", "__cell").orderBy("__order", "__p", "__r"))
     there = F.count(F.lit(1)).over(Window.partitionBy("__shard", "__cell"))

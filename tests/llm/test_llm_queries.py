@@ -42,7 +42,7 @@ def test_query_matches_sql(spark, name):
     ("op3_token_counts", {"doc_id", "n_bytes", "n_tokens", "over_limit"}),
     ("op5_language_id", {"doc_id", "held_out", "lang_pred", "score"}),
     ("op7_secrets", {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}),
-    ("op9_mixing", {"doc_id", "size", "source_size", "target", "taken"}),
+    ("op9_mixing", {"doc_id", "size", "source_size", "target", "taken", "shards"}),
     ("op10_media", {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"}),
 ])
 def test_one_row_per_document(spark, table, name, columns):
@@ -100,7 +100,8 @@ def test_secrets_by_hand(spark):
         listed = [f"{name}:{a}:{z}" for a, _, name, z in spans]
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(name == k for _, _, name, _ in spans) for k in kinds]
         assert r.base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest()
-        assert set(listed) <= set(r.spans.split(",")) | {""} and (listed or r.spans.startswith(("crf", "")))
+        spans = r.spans.split(",") if r.spans else []
+        assert set(listed) <= set(spans) and all(re.fullmatch(r"crf:\d+:\d+", x) for x in spans if x not in listed)
         found += len(listed)
     assert found
 
@@ -246,8 +247,10 @@ def test_stages_keep_columns_of_odd_rows(spark, k):
     name, stage = corpus_pipeline.STAGES[k]
     rows = [(i, f"the house and the garden are near number {i} of the long street by the water", "en", f"s{i % 3}", 5) for i in range(40)]
     rows += [(None, None, None, None, None), (7, None, None, None, None), rows[3], (None, rows[4][1], "en", None, None), (60, "", "en", "s1", 0)]
-    out = stage(spark, spark.createDataFrame(rows, ODD), SF)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    clashing = ["score", "size", "shard", "place", "lang_pred", "draws", "__text"]
+    out = stage(spark, spark.createDataFrame(rows, ODD).withColumns({c: F.lit("mine") for c in clashing}), SF)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", *clashing]
+    assert out.filter(" or ".join(f"`{c}` is null or `{c}` <> 'mine'" for c in clashing)).count() == 0
     got = Counter((r.doc_id, r.text) for r in out.collect())
     want = Counter((r[0], r[1]) for r in rows)
     if name == "language_id":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrid.llm import hard_negatives, queries, spelling
+from lexigrid.llm import hard_negatives, media, mixing, queries, secret_scan, sharding, spelling
 from lexigrid.llm.byte_bpe import ByteBPE, bpe_decode, bpe_encode, byte_bpe
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -223,3 +224,77 @@ def test_chains_of_forms_and_odd_tables(spark):
     assert spelling.spelling_variants(spelling.word_counts(df.filter("false"))).count() == 0
     with pytest.raises(Exception, match="four code points"):
         spelling.spelling_variants(spark.createDataFrame([("abc", 3)], "word string, n long")).collect()
+
+
+# --- earlier operators
+
+
+def test_equal_rows_are_dealt_like_others(spark):
+    """A thousand equal rows among eight thousand: some 125 a shard, within chance (sd 10)."""
+    rows = [(i, f"text {i}") for i in range(3_500)] + [(None, "same")] * 1_000 + [(i, f"text {i}") for i in range(3_500, 7_000)]
+    out = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).filter("text = 'same'").collect()
+    counts = Counter(r.shard for r in out)
+    assert len(out) == 1_000 and len(counts) == 8 and all(80 <= n <= 170 for n in counts.values())
+    slots = sorted(r.slot for r in out if r.shard == 0)
+    assert slots[-1] - slots[0] > 500
+
+
+def test_a_borrower_alone_ends_the_job(spark, tmp_path):
+    long = " ".join(str(i * i) for i in range(30_000))
+    stored = media.store(spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string"), str(tmp_path / "m"))
+    assert media.read_media(stored).count() == 2
+    borrower = stored.filter(F.exists("chunks", lambda c: c["bytes"].isNull()))
+    assert borrower.count() == 1
+    with pytest.raises(Exception, match="none of the containers"):
+        media.read_media(borrower).collect()
+
+
+def test_draws_of_the_mix_follow_the_tree(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 5), f"s{i % 3}") for i in range(3_000)], "doc_id long, text string, source string")
+    draws = Counter(d.shard for r in mixing.mix(docs, block_rows=4, n_shards=8).collect() for d in r.draws)
+    assert set(draws) == set(range(8)) and max(draws.values()) < 1.3 * min(draws.values())
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, n, rng: [list(quotas)] + [[0] * len(quotas)] * (n - 1))
+    assert {d.shard for r in mixing.mix(docs, block_rows=4, n_shards=8).collect() for d in r.draws} == {0}
+
+
+def test_op9_says_the_shards(spark):
+    for r in queries.op9_mixing(spark, SF).collect():
+        shards = [int(s) for s in r.shards.split(",") if s]
+        assert r.taken == len(shards) * r["size"] and all(0 <= s < 16 for s in shards)
+
+
+def test_gradient_of_the_field_by_differences():
+    """Sequences of several lengths, padded to one; the differences are taken from sums over all paths."""
+    rng = np.random.default_rng(0)
+    model = secret_scan.Field()
+    model.shape[:] = rng.normal(size=model.shape.shape) * 0.3
+    model.file[:] = rng.normal(size=model.file.shape) * 0.3
+    allowed = model.moves > -1e8
+    model.moves[allowed] = rng.normal(size=allowed.sum())
+    matrix = np.vstack([np.zeros(len(secret_scan.NAMES)), (rng.random((5, len(secret_scan.NAMES))) < 0.3).astype(float)])
+    lengths, tags = [5, 3, 1], np.array([[0, 1, 2, 0, 1], [1, 2, 0, 0, 0], [0, 0, 0, 0, 0]])
+    ids = np.zeros((3, 8), int)
+    for row, n in enumerate(lengths):
+        ids[row, 2 : 2 + n] = rng.integers(1, 6, n)
+    at, files = [ids[:, 2 + p : 7 + p] for p in secret_scan.PLACES], np.array([0, 3, 1])
+
+    def plain():
+        by, total = model.by_shape(matrix), 0.0
+        for row, n in enumerate(lengths):
+            e = [sum(b[i[row, t]] for b, i in zip(by, at, strict=True)) + model.file[files[row]] for t in range(n)]
+            score = lambda path: sum(e[t][y] + model.moves[path[t - 1] if t else 0, y] for t, y in enumerate(path))  # noqa: B023, E731
+            total += np.log(sum(np.exp(score(p)) for p in itertools.product(range(3), repeat=n))) - score(tags[row, :n])
+        return total
+
+    value, grads = secret_scan.gradient(model, matrix, at, tags, files)
+    assert value == pytest.approx(plain())
+    for x, g in zip((model.shape, model.file, model.moves), grads, strict=True):
+        for place in zip(*np.nonzero(np.ones(x.shape)), strict=True):
+            if x is model.moves and not allowed[place]:
+                continue
+            old, values = x[place], []
+            for step in (1e-5, -1e-5):
+                x[place] = old + step
+                values.append(plain())
+            x[place] = old
+            assert g[place] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-6)
