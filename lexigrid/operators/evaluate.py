@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 
 def confusion(rows: DataFrame, label: str, flag: str) -> DataFrame:
     """(tp, fp, fn, tn)."""
@@ -22,14 +24,15 @@ def measures(cells: DataFrame) -> DataFrame:
     })
 
 
-def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the curve by mid-ranks, ties counting half.
-
-    Rows are first added up by distinct score, so that the one ordered pass is over scores, not rows.
-    """
+def _by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """(s, p, n): positives and negatives of each distinct score, with those below it and all of them."""
     by = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = by.withColumn("won", F.col("p") * (below + F.col("n") / 2)).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return running(by, "s", ("p", "n"))
+
+
+def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
+    """Exact area under the curve by mid-ranks, ties counting half: rows are added up by distinct score, and scores in ranges."""
+    won = _by_score(rows, label, score).withColumn("won", F.col("p") * (F.col("below_n") + F.col("n") / 2)).agg(F.sum("won").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return won.select(F.try_divide(F.col("w"), (F.col("p") * F.col("n")).cast("double")).alias("auc"))
 
 
@@ -39,8 +42,6 @@ def evaluate(rows: DataFrame, label: str, flag: str, score: str) -> DataFrame:
 
 
 def roc_points(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """(threshold, tpr, fpr) at each distinct score, the rows at or over it counted as positive; null where a class is empty. The one ordered pass is over distinct scores."""
-    by = rows.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    down, whole = Window.partitionBy(F.lit(1)).orderBy(F.desc("threshold")), Window.partitionBy(F.lit(1))
-    share = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(whole))
-    return by.select("threshold", share("p").alias("tpr"), share("n").alias("fpr"))
+    """(threshold, tpr, fpr) at each distinct score, the rows at or over it counted as positive; null where a class is empty."""
+    share = lambda c: F.try_divide(F.col(f"all_{c}") - F.col(f"below_{c}"), F.col(f"all_{c}"))
+    return _by_score(rows, label, score).select(F.col("s").alias("threshold"), share("p").alias("tpr"), share("n").alias("fpr"))

@@ -108,7 +108,11 @@ def tiled(vectors: DataFrame, kind: str, least: float | None = None, every: bool
     base = base.join(F.broadcast(sizes) if block is None else sizes, base["block"].eqNullSafe(sizes["block"])).drop(sizes["block"])
     base = base.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     kept = [c for c in ("id", "keys", "vals") if c in vectors.columns]
-    dealt = base.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *kept)
+    return met(base.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *kept), kind, least, every)
+
+
+def met(dealt: DataFrame, kind: str, least: float | None = None, every: bool = True) -> DataFrame:
+    """(id_a, id_b, score) of the pairs of each tile: vectors (block, i, j, part, id, keys, vals), where part is i or j."""
 
     def tile(t: pa.Table) -> pa.Table:
         part, i, j = t.column("part").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
@@ -127,7 +131,7 @@ def tiled(vectors: DataFrame, kind: str, least: float | None = None, every: bool
         of_a, of_b, s = a.ids.take(pa.array(x)), b.ids.take(pa.array(y)), score[x, y]
         return pa.table({"id_a": pc.if_else(swap, of_b, of_a), "id_b": pc.if_else(swap, of_a, of_b), "score": pa.array(s, mask=np.isnan(s))})
 
-    kind_of_id = vectors.schema["id"].dataType.simpleString()
+    kind_of_id = dealt.schema["id"].dataType.simpleString()
     return dealt.groupBy("block", "i", "j").applyInArrow(tile, f"id_a {kind_of_id}, id_b {kind_of_id}, score double")
 
 

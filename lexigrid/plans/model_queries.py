@@ -10,10 +10,10 @@ from ..functions import text as t
 from ..operators import evaluate as ev
 from ..operators import models, report, terms, topics
 from ..sources.bank import read_lexicon, read_sheet, read_table, write_csv, write_sheets, write_stage
-from .fragments import tokens
+from .fragments import clean, tokens, values
 from .pair_queries import BETA, SCORED, betas, scored_labels
 from .registry import query
-from .text_queries import LEXICON, docs, kept_counts
+from .text_queries import LEXICON, docs, kept_counts, kept_tokens, stop_list
 
 
 def _folder(spark) -> str:
@@ -43,17 +43,14 @@ def topic_coherence(spark, sf_dir):
     return topics.coherence(kept_counts(spark, sf_dir), betas(spark, sf_dir)).withColumn("coherence", F.round("coherence", 6))
 
 
-@query(f"""WITH {BETA}, {THETA}, {COHERENCE}, grams AS (SELECT doc, a || '_' || b AS term, count(*) AS n FROM (SELECT doc, term AS a, lead(term) OVER (PARTITION BY doc ORDER BY term) AS b FROM kept) WHERE b IS NOT NULL GROUP BY 1, 2),
+@query(f"""WITH {BETA}, {THETA}, {COHERENCE}, tk AS (SELECT doc, ts[i] AS term, i FROM (SELECT doc, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id AS doc, list_filter(string_split({clean('text')}, ' '), lambda x: x <> '') AS ts FROM documents)) WHERE ts[i] NOT IN (SELECT * FROM {values(stop_list())})),
+grams AS (SELECT doc, a || '_' || b AS term, count(*) AS n FROM (SELECT doc, term AS a, lead(term) OVER (PARTITION BY doc ORDER BY i) AS b FROM tk) WHERE b IS NOT NULL GROUP BY 1, 2),
 freq AS (SELECT topic, term, sum(n) AS n FROM theta JOIN grams ON id = doc WHERE gamma > 0.2 GROUP BY 1, 2), lab AS (SELECT topic, term AS label FROM freq QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) = 1),
 prev AS (SELECT topic, sum(gamma) / (SELECT sum(gamma) FROM theta) * 100 AS prevalence FROM theta GROUP BY topic), tt AS (SELECT topic, string_agg(term, ', ' ORDER BY r) AS top_terms FROM top GROUP BY topic)
 SELECT prev.topic::INT AS topic, label, round(coherence, 3) AS coherence, round(prevalence, 3) AS prevalence, top_terms FROM prev LEFT JOIN tt ON tt.topic = prev.topic LEFT JOIN coh ON coh.topic = prev.topic LEFT JOIN lab ON lab.topic = prev.topic ORDER BY prevalence DESC, prev.topic LIMIT 10""")
 def topic_summary(spark, sf_dir):
-    kept = kept_counts(spark, sf_dir)
-    from pyspark.sql import Window
-
-    after = F.lead("term").over(Window.partitionBy("doc").orderBy("term"))
-    grams = kept.select("doc", F.concat("term", F.lit("_"), after).alias("term")).filter("term is not null").groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
-    return topics.summary(betas(spark, sf_dir), thetas(spark, sf_dir), kept.unionByName(grams), least=0.2)
+    """Labels are neighbours in the texts once stop words are gone."""
+    return topics.summary(betas(spark, sf_dir), thetas(spark, sf_dir), terms.ngram_counts(kept_tokens(spark, sf_dir)), least=0.2)
 
 
 @query(f"WITH {BETA}, {THETA}, mixed AS (SELECT k.doc, k.term, any_value(k.n) AS n, sum(gamma * beta) AS p FROM kept k JOIN theta ON theta.id = k.doc JOIN beta ON beta.topic = theta.topic AND beta.term = k.term GROUP BY 1, 2) SELECT round(exp(-sum(n * ln(p)) / sum(n)), 4) AS perplexity FROM mixed")
@@ -94,12 +91,12 @@ def roc_points(spark, sf_dir):
 
 
 @query(f"""WITH lx AS (SELECT DISTINCT * FROM (VALUES {', '.join(map(str, LEXICON))}) AS v(form, lemma, upos))
-SELECT doc, coalesce(lemma, term) AS term, count(*) AS n FROM ({tokens('benchmark', 'item_id')}) LEFT JOIN lx ON form = term WHERE coalesce(upos, 'NOUN') IN ('NOUN', 'ADJ') GROUP BY ALL""")
+SELECT doc, coalesce(lemma, term) AS term, count(*) AS n FROM ({tokens()}) LEFT JOIN lx ON form = term WHERE coalesce(upos, 'NOUN') IN ('NOUN', 'ADJ') GROUP BY ALL""")
 def pos_filter(spark, sf_dir):
     """The lexicon is written as a table and loaded; words it has as verbs, determiners and so on are left out."""
     path = f"{_folder(spark)}/lexicon"
     write_csv(spark.createDataFrame([(f.title(), m, u.lower()) for f, m, u in LEXICON], "form string, lemma string, upos string"), path)
-    toks = terms.doc_tokens(read_table(spark, sf_dir, "benchmark"), "item_id", t.clean_text(F.col("text")))
+    toks = terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text")))
     kept = terms.annotate(toks, F.broadcast(read_lexicon(spark, path))).filter(F.col("upos").isin("NOUN", "ADJ"))
     return terms.counts(kept.select("doc", F.col("lemma").alias("term")))
 
@@ -113,6 +110,15 @@ def sheet_round_trip(spark, sf_dir):
     return write_stage(a.join(F.broadcast(b), a["n_regionkey"] == b["r_regionkey"]).select("n_nationkey", "n_name", "r_name"), f"{path}/joined")
 
 
+@query(f"WITH {SCORED} SELECT '(Intercept)' AS term, round(sum(y), 3) AS total FROM scored WHERE y IS NOT NULL UNION ALL SELECT 'score', round(sum(y * score), 3) FROM scored WHERE y IS NOT NULL")
+def logit_moments(spark, sf_dir):
+    """The score equations of the regression: at the fit the probabilities have the labels' sums, alone and times each feature."""
+    rows = scored_labels(spark, sf_dir).filter("y is not null")
+    fitted = models.score(models.fit_logit(rows, ("score",), "y"), rows, "p1")
+    sums = fitted.agg(F.round(F.sum("p1"), 3).alias("a"), F.round(F.sum(F.col("p1") * F.col("score")), 3).alias("b"))
+    return sums.select(F.inline(F.array(F.struct(F.lit("(Intercept)").alias("term"), F.col("a").alias("total")), F.struct(F.lit("score").alias("term"), F.col("b").alias("total")))))
+
+
 PROFILED = ("doc_id", "text", "lang", "source", "n_chars")
 
 

@@ -238,9 +238,10 @@ def topic_prevalence(spark, sf_dir):
 SELECT id_a, id_b, length(a.text)::INT AS length_a, length(b.text)::INT AS length_b, a.topic AS topic_a, b.topic AS topic_b, coalesce((a.topic = b.topic)::INT, 0) AS same_topic
 FROM pairs JOIN t a ON a.doc_id = id_a JOIN t b ON b.doc_id = id_b""")
 def final_merge(spark, sf_dir):
+    """The query asks for lengths only, so they are taken before the join."""
     d = docs(spark, sf_dir).withColumnRenamed("doc_id", "id")
-    merged = report.final_merge(similarity.pairs(items(docs(spark, sf_dir)), None), d.select("id", "text"), d.select("id", F.nullif("source", F.lit("src1")).alias("topic")))
-    return merged.select("id_a", "id_b", F.length("text_a").alias("length_a"), F.length("text_b").alias("length_b"), "topic_a", "topic_b", "same_topic")
+    merged = report.final_merge(similarity.pairs(items(docs(spark, sf_dir)), None), d.select("id", F.length("text").alias("text")), d.select("id", F.nullif("source", F.lit("src1")).alias("topic")))
+    return merged.select("id_a", "id_b", F.col("text_a").alias("length_a"), F.col("text_b").alias("length_b"), "topic_a", "topic_b", "same_topic")
 
 
 # Iterative fits: no SQL form; the tests hold them against planted structure.

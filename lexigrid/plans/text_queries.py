@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import terms
+from ..operators import phrases, terms
 from ..sources.bank import read_table
 from .fragments import clean, tokens, values
 from .registry import query
@@ -28,9 +28,14 @@ def stops(spark: SparkSession) -> DataFrame:
     return terms.word_table(spark, stop_list())
 
 
+def kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, pos, term) of cleaned documents without stop words."""
+    return terms.without(terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text"))), stops(spark))
+
+
 def kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc, term, n) of cleaned documents without stop words."""
-    return terms.counts(terms.without(terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text"))), stops(spark)))
+    return terms.counts(kept_tokens(spark, sf_dir))
 
 
 KEPT = f"kept AS (SELECT doc, term, count(*) AS n FROM ({tokens()}) WHERE term NOT IN (SELECT * FROM {values(stop_list())}) GROUP BY doc, term)"
@@ -142,11 +147,11 @@ def phrase_features(spark, sf_dir):
     return terms.phrase_features(docs(spark, sf_dir), t.clean_text(F.col("text")), PHRASES)
 
 
-@query(f"""WITH tk AS (SELECT item_id AS doc, list_filter(string_split({clean('text')}, ' '), lambda x: x <> '') AS ts FROM benchmark),
+@query(f"""WITH tk AS (SELECT doc_id AS doc, list_filter(string_split({clean('text')}, ' '), lambda x: x <> '') AS ts FROM documents),
 u AS (SELECT doc, unnest(ts) AS term FROM tk UNION ALL SELECT doc, ts[i] || '_' || ts[i + 1] FROM (SELECT doc, ts, unnest(range(1, len(ts))) AS i FROM tk))
 SELECT doc, term, count(*) AS n FROM u GROUP BY doc, term""")
 def ngram_dtm(spark, sf_dir):
-    return terms.ngram_counts(terms.doc_tokens(read_table(spark, sf_dir, "benchmark"), "item_id", t.clean_text(F.col("text"))))
+    return terms.ngram_counts(terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text"))))
 
 
 @query(f"WITH {TFIDF} SELECT doc, term, n, round(tf, 6) AS tf, round(idf, 6) AS idf, round(tf * idf, 6) AS tf_idf FROM weights")
@@ -167,7 +172,7 @@ def _weighted(source: str, name: str) -> str:
 
 
 @query(rf"""WITH base AS (SELECT doc, name, regexp_replace(j, '\b\w+_\w+\b', '', 'g') AS text, array_to_string(regexp_extract_all(j, '\b\w+_\w+\b'), '/') AS collocate
-  FROM (SELECT item_id AS doc, 'item ' || item_id AS name, {_joined(clean('text'))} AS j FROM benchmark)),
+  FROM (SELECT doc_id AS doc, 'item ' || doc_id AS name, {_joined(clean('text'))} AS j FROM documents)),
 {_weighted('base', 'first')},
 merged AS (SELECT base.doc, string_split_regex(replace(coalesce(first.keywords, 'NA') || ' ' || collocate || ' ' || name, '_', ' '), '\s+') AS parts FROM base LEFT JOIN first USING (doc)),
 deduped AS (SELECT doc, replace((SELECT string_agg(w, ' ' ORDER BY p) FROM (SELECT w, min(p) AS p FROM (SELECT unnest(parts) AS w, generate_subscripts(parts, 1) AS p) GROUP BY w)), 'NA', '') AS s FROM merged),
@@ -175,9 +180,8 @@ again AS (SELECT doc, {clean('s')} AS text FROM deduped),
 {_weighted('again', 'second')}
 SELECT base.doc, base.text AS text_clean, base.collocate, coalesce(second.keywords, name) AS keywords FROM base LEFT JOIN second USING (doc) WHERE coalesce(second.keywords, name) <> ''""")
 def two_pass_keywords(spark, sf_dir):
-    items = read_table(spark, sf_dir, "benchmark")
-    name = F.concat(F.lit("item "), F.col("item_id").cast("string"))
-    return terms.two_pass_keywords(items, "item_id", t.clean_text(F.col("text")), name, PHRASES, t.SEED_WORDS, stops(spark))
+    name = F.concat(F.lit("item "), F.col("doc_id").cast("string"))
+    return terms.two_pass_keywords(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text")), name, PHRASES, t.SEED_WORDS, stops(spark))
 
 
 #: A small lexicon for the annotation query: form, lemma, part of speech.
@@ -185,21 +189,36 @@ LEXICON = (("the", "the", "DET"), ("is", "be", "VERB"), ("are", "be", "VERB"), (
 
 
 @query(f"""WITH lx AS (SELECT DISTINCT * FROM (VALUES {', '.join(map(str, LEXICON))}) AS v(form, lemma, upos))
-SELECT doc, coalesce(lemma, term) AS lemma, coalesce(upos, 'NOUN') AS upos, count(*) AS n FROM ({tokens('benchmark', 'item_id')}) LEFT JOIN lx ON form = term GROUP BY ALL""")
+SELECT doc, coalesce(lemma, term) AS lemma, coalesce(upos, 'NOUN') AS upos, count(*) AS n FROM ({tokens()}) LEFT JOIN lx ON form = term GROUP BY ALL""")
 def pos_annotation(spark, sf_dir):
     lexicon = spark.createDataFrame(sorted(set(LEXICON)), "form string, lemma string, upos string")
-    toks = terms.doc_tokens(read_table(spark, sf_dir, "benchmark"), "item_id", t.clean_text(F.col("text")))
+    toks = terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text")))
     return terms.annotate(toks, F.broadcast(lexicon)).groupBy("doc", "lemma", "upos").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH lx AS (SELECT DISTINCT * FROM (VALUES {', '.join(map(str, LEXICON))}) AS v(form, lemma, upos)),
-tk AS (SELECT doc, ts[i] AS term, i FROM (SELECT doc, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT item_id AS doc, list_filter(string_split({clean('text')}, ' '), lambda x: x <> '') AS ts FROM benchmark)))
+tk AS (SELECT doc, ts[i] AS term, i FROM (SELECT doc, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT doc_id AS doc, list_filter(string_split({clean('text')}, ' '), lambda x: x <> '') AS ts FROM documents)))
 SELECT doc, string_agg(coalesce(lemma, term), ' ' ORDER BY i) AS text FROM tk LEFT JOIN lx ON form = term WHERE coalesce(upos, 'NOUN') <> 'VERB' GROUP BY doc""")
 def remove_verbs(spark, sf_dir):
     lexicon = spark.createDataFrame(sorted(set(LEXICON)), "form string, lemma string, upos string")
-    return terms.remove_verbs(terms.doc_tokens(read_table(spark, sf_dir, "benchmark"), "item_id", t.clean_text(F.col("text"))), F.broadcast(lexicon))
+    return terms.remove_verbs(terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text"))), F.broadcast(lexicon))
 
 
 @query()
 def stemmed_counts(spark, sf_dir):
     return terms.stemmed_counts(terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text"))))
+
+
+LISTED = r"""tk AS (SELECT doc_id, regexp_extract_all(text, '\w+|[^\w\s]') AS ts FROM documents),
+p AS (SELECT ts[i] AS w1, ts[i + 1] AS w2 FROM (SELECT ts, unnest(range(1, len(ts))) AS i FROM tk)),
+listed AS (SELECT list(phrase ORDER BY n DESC, phrase) AS phrases FROM (SELECT w1 || ' ' || w2 AS phrase, count(*) AS n FROM p WHERE regexp_matches(w1, '^[A-Z]') AND regexp_matches(w2, '^[a-z]') GROUP BY 1 HAVING count(*) >= 10))"""
+
+
+@query(f"WITH {LISTED} SELECT doc_id, list_reduce(list_prepend(text, (SELECT phrases FROM listed)), lambda acc, x: replace(acc, x, replace(x, ' ', '_'))) AS joined FROM documents")
+def listed_phrases(spark, sf_dir):
+    """All documents with every pair of a capitalised word and its neighbour that occurs ten times or more joined, the commonest first."""
+    toks = t.punctuated_tokens(F.col("text"))
+    both = docs(spark, sf_dir).select(F.explode(F.arrays_zip(toks.alias("a"), F.slice(toks, F.lit(2), F.greatest(F.size(toks) - 1, F.lit(0))).alias("b"))).alias("p"))
+    found = both.select(F.col("p.a").alias("w1"), F.col("p.b").alias("w2")).filter(F.col("w1").rlike("^[A-Z]") & F.col("w2").rlike("^[a-z]"))
+    counted = found.groupBy(F.concat_ws(" ", "w1", "w2").alias("phrase")).agg((-F.count(F.lit(1))).alias("n")).filter("n <= -10")
+    return phrases.combine_listed(docs(spark, sf_dir).select("doc_id", "text"), "text", phrases.phrase_list(counted, ("n",))).select("doc_id", "joined")
