@@ -64,30 +64,34 @@ class LanguageModel:
         return np.add.reduceat(self.log_p[rows], starts)
 
 
-def mixture(logs: np.ndarray, rounds: int = 40, near: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Shares by expectation-maximisation, and the log likelihood under them."""
+def mixture(logs: np.ndarray, times: np.ndarray, rounds: int = 40, near: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Shares by expectation-maximisation, and the log likelihood under them, of words that occur so many times."""
     top = logs.max(1, keepdims=True)
     if logs.shape[1] == 1:
-        return np.ones(1), float(top.sum())
+        return np.ones(1), float(times @ top[:, 0])
     p = np.exp(logs - top)
     share = np.full(logs.shape[1], 1 / logs.shape[1])
     for _ in range(rounds):
         r = p * share
-        new = (r / r.sum(1, keepdims=True)).sum(0) / len(logs)
+        new = times @ (r / r.sum(1, keepdims=True)) / times.sum()
         moved, share = np.abs(new - share).max(), new
         if moved < near:
             break
-    return share, float(np.log(p @ share).sum() + top.sum())
+    return share, float(times @ (np.log(p @ share) + top[:, 0]))
 
 
-def languages_of(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of the languages of the best set, their shares), the largest share first; the earlier language on a tie."""
-    whole, _ = mixture(logs)
+def languages_of(logs: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the languages of the best set, their shares), the largest share first; the earlier language on a tie.
+
+    logs has a row for each word, which occurs as often as times says, once if it is not given.
+    """
+    times = np.ones(len(logs)) if times is None else times
+    whole, _ = mixture(logs, times)
     order = np.argsort(-whole, kind="stable")
     best = None
     for k in range(1, len(order) + 1):
-        share, fit = mixture(logs[:, order[:k]])
-        fit -= 0.5 * (k - 1) * np.log(len(logs))
+        share, fit = mixture(logs[:, order[:k]], times)
+        fit -= 0.5 * (k - 1) * np.log(times.sum())
         if best is not None and fit <= best[0]:
             break
         best = (fit, order[:k], share)
@@ -140,7 +144,7 @@ class _Words:
         self.at: dict[bytes, int] = {}
         self.rows = np.zeros((1 << 14, len(model.languages)))
 
-    def add(self, words: list[list[bytes]]) -> None:
+    def add(self, words: list[Counter]) -> None:
         if len(self.at) > self.most:
             self.at.clear()
         new = sorted(set().union(*words) - self.at.keys())
@@ -152,7 +156,7 @@ class _Words:
             self.rows[start + i : start + i + len(part)] = self.model.of_words(part)
         self.at.update(zip(new, range(start, end), strict=True))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: Counter) -> np.ndarray:
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
@@ -161,23 +165,24 @@ def language_id(docs: DataFrame, model: LanguageModel, text_col: str = "text", k
     """The columns ``keep`` (all but the text if not given) with lang_pred, score and langs.
 
     langs: the chosen languages with their shares, the largest first; lang_pred and score are the first of
-    them. A null text, one without a letter, or a model without languages gives und, 0 and no langs. Repeated
+    them. Words are told apart once a text, with their counts, so a long text takes what its distinct words take.
+    A null text, one without a letter, or a model without languages gives und, 0 and no langs. Repeated
     rows get the same; columns of these names are replaced.
     """
     base, names, body = carried(docs, text_col, but_text(docs, text_col, keep), ("lang_pred", "score", "langs"))
     result = T.StructType().add("lang_pred", "string").add("score", "double").add("langs", T.MapType(T.StringType(), T.DoubleType()))
 
-    def one(text: str | None, words: list[bytes], known: _Words) -> tuple:
+    def one(text: str | None, words: Counter, known: _Words) -> tuple:
         if not model.languages or not text or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, []
-        which, share = languages_of(known.of(words))
+        which, share = languages_of(known.of(words), np.fromiter(words.values(), float, len(words)))
         return model.languages[which[0]], float(share[0]), [(model.languages[i], float(s)) for i, s in zip(which, share, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words(model, memo_words)
         for b in sliced(batches, body):
             texts = b.column(body).to_pylist()
-            words = [letter_words(t) for t in texts]
+            words = [Counter(letter_words(t)) for t in texts]
             known.add(words)
             found = [one(t, w, known) for t, w in zip(texts, words, strict=True)]
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.map_(pa.string(), pa.float64()))]
