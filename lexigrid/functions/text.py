@@ -103,7 +103,7 @@ def tokens(c: Column) -> Column:
 
 def punctuated_tokens(c: Column) -> Column:
     """Words and single punctuation characters in order."""
-    return F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"), F.lit(0))
 
 
 def padded_select(toks: Column, pattern: str) -> Column:

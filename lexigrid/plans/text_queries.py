@@ -124,14 +124,14 @@ def drop_empty_docs(spark, sf_dir):
     return terms.lost_docs(docs(spark, sf_dir), "doc_id", kept_counts(spark, sf_dir))
 
 
-@query(r"SELECT conv_id, turn, len(regexp_extract_all(text, '\w+|[^\w\s]'))::BIGINT AS n_tokens, len(list_filter(regexp_extract_all(text, '\w+|[^\w\s]'), lambda x: regexp_matches(x, '^[A-Z]')))::BIGINT AS n_capital FROM conversations")
+@query(r"SELECT conv_id, turn, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]'))::BIGINT AS n_tokens, len(list_filter(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]'), lambda x: regexp_matches(x, '^[A-Z]')))::BIGINT AS n_capital FROM conversations")
 def punctuated_tokens(spark, sf_dir):
     toks = t.punctuated_tokens(F.col("text"))
     kept = F.filter(t.padded_select(toks, "^[A-Z]"), lambda x: x != "")
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(toks).cast("long").alias("n_tokens"), F.size(kept).cast("long").alias("n_capital"))
 
 
-@query(r"""WITH tk AS (SELECT doc_id, regexp_extract_all(text, '\w+|[^\w\s]') AS ts FROM documents),
+@query(r"""WITH tk AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]') AS ts FROM documents),
 p AS (SELECT ts[i] AS w1, ts[i + 1] AS w2 FROM (SELECT ts, unnest(range(1, len(ts))) AS i FROM tk)),
 b AS (SELECT w1, w2, count(*) AS n FROM p WHERE regexp_matches(w1, '^[A-Z]') AND regexp_matches(w2, '^[A-Z]') GROUP BY w1, w2),
 m AS (SELECT *, sum(n) OVER (PARTITION BY w1) AS n1, sum(n) OVER (PARTITION BY w2) AS n2, sum(n) OVER () AS total FROM b),
@@ -209,7 +209,7 @@ def stemmed_counts(spark, sf_dir):
     return terms.stemmed_counts(terms.doc_tokens(docs(spark, sf_dir), "doc_id", t.clean_text(F.col("text"))))
 
 
-LISTED = r"""tk AS (SELECT doc_id, regexp_extract_all(text, '\w+|[^\w\s]') AS ts FROM documents),
+LISTED = r"""tk AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]') AS ts FROM documents),
 p AS (SELECT ts[i] AS w1, ts[i + 1] AS w2 FROM (SELECT ts, unnest(range(1, len(ts))) AS i FROM tk)),
 listed AS (SELECT list(phrase ORDER BY n DESC, phrase) AS phrases FROM (SELECT w1 || ' ' || w2 AS phrase, count(*) AS n FROM p WHERE regexp_matches(w1, '^[A-Z]') AND regexp_matches(w2, '^[a-z]') GROUP BY 1 HAVING count(*) >= 10))"""
 

@@ -55,3 +55,8 @@ def test_scalars(spark):
 )
 def test_porter(word, stemmed):
     assert stem(word) == stemmed
+
+
+def test_punctuated_tokens_of_any_letters(spark):
+    row = spark.range(1).select(t.punctuated_tokens(F.lit("Größe, l'été_2: 日本!")).alias("x")).first()
+    assert row.x == ["Größe", ",", "l", "'", "été_2", ":", "日本", "!"]
