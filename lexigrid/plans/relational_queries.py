@@ -175,7 +175,7 @@ def _stats(c: str) -> str:
 
 @query(f"SELECT l_returnflag, {', '.join(map(_stats, ('l_quantity', 'l_extendedprice')))} FROM lineitem GROUP BY l_returnflag")
 def desc_stats(spark, sf_dir):
-    out = report.describe(read_table(spark, sf_dir, "lineitem"), "l_returnflag", ("l_quantity", "l_extendedprice"))
+    out = report.describe(read_table(spark, sf_dir, "lineitem"), "l_returnflag", ("l_quantity", "l_extendedprice"), stored=True)
     return out.select(*(F.round(c, 6).alias(c) if k == "double" and not c.endswith("_value") else F.col(c) for c, k in out.dtypes))
 
 
